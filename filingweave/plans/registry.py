@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingweave.plans import references, schema_drift
+from filingweave.plans import references, schema_drift, units
 
-_MODULES = (references, schema_drift)
+_MODULES = (references, schema_drift, units)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
