@@ -9,7 +9,7 @@ from filingweave.sources.tables import table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.link_all(table(spark, d, "announcements"))
+    return history.link_all(table(spark, d, "announcements"), table(spark, d, "companies"))
 
 
 QUERIES = {"p5_found": p5_found}
