@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingweave.llm import history
+from filingweave.llm import history, names
 from filingweave.sources.tables import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "announcements_objects").where("stock_code is null or trim(stock_code) in ('', '-')").select("row_id", "company")
+    return names.link(typed, table(spark, d, "watchlist"), table(spark, d, "companies")).select("row_id", "stock_code")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.link_all(table(spark, d, "announcements"), table(spark, d, "companies"))
 
 
-QUERIES = {"p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
 ORACLES: dict[str, str] = {}
