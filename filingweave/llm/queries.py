@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filingweave.llm import history, names
+from filingweave.llm import history, leakage, names
 from filingweave.sources.tables import table
 
 
@@ -17,5 +18,17 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.link_all(table(spark, d, "announcements"), table(spark, d, "companies"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return found.where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per item: documents that carry it, that carry less of it, and that only re-parameterise it."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    count = [F.countDistinct(F.when(F.col("kind") == k, F.col("doc_id"))).alias(f"n_{k}") for k in ("verbatim", "partial", "reparameterised")]
+    return found.groupBy("item_id").agg(*count, F.max("words").alias("most_words"))
+
+
+QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report}
 ORACLES: dict[str, str] = {}
