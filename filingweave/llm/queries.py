@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingweave.llm import history, leakage, names
+from filingweave.llm import abuse, history, leakage, mixing, names
 from filingweave.sources.tables import table
 
 
@@ -30,5 +30,28 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(*count, F.max("words").alias("most_words"))
 
 
-QUERIES = {"p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report}
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p7_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score(table(spark, d, "documents"), table(spark, d, "abuse_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(table(spark, d, "documents"), p8_scores(spark, d))
+
+
+QUERIES = {
+    "p7_shares": p7_shares, "p7_selection": p7_selection, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
+    "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report,
+}
 ORACLES: dict[str, str] = {}
