@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filingweave.plans import references, schema_drift, units
+from filingweave.plans import filings, references, schema_drift, units
 
-_MODULES = (references, schema_drift, units)
+_MODULES = (filings, references, schema_drift, units)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return references.p3_report(spark, d)
+    return filings.growth_by_supplier_quarter(spark, d)
