@@ -116,8 +116,9 @@ HEADERS = "table_name string, feed string, file_no long, field string, kind stri
 def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
     """Header rows of raw records: `raw` has table_name, feed, file_no, body (JSON text).
 
-    kind is a JSON type (then bucket is null and n counts records of the file with it), or `profile` (then n
-    counts words of the field in the bucket over all files of the table; feed and file_no are null). Summed over all records.
+    kind is a JSON type (then bucket is null and n counts records of the file with it), or `profile <type>` (then n
+    counts features of the field's values of that type in the bucket, over all files of the table; feed and file_no
+    are null). Summed over all records.
     The top-level key of a wrapped payload is a field of its own, of type array.
     """
 
@@ -134,13 +135,14 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
                 where = (table_name, feed, file_no)
                 if top is not None:
                     types[(*where, top, "array")] += 1
-                    words[(table_name, top, zlib.crc32(b"list of records") % PROFILE)] += len(rows)
+                    words[(table_name, top, "array", zlib.crc32(b"list of records") % PROFILE)] += len(rows)
                 for row in rows:
                     for key, value in row.items():
-                        types[(*where, key, json_type(value))] += 1
+                        kind = json_type(value)
+                        types[(*where, key, kind)] += 1
                         for leaf in _leaves(value):
                             for at in _buckets(leaf, seen):
-                                words[(table_name, key, at)] += 1
+                                words[(table_name, key, kind, at)] += 1
             if len(types) + len(words) > 200_000:
                 yield from _flush(types, words)
         yield from _flush(types, words)
@@ -154,7 +156,7 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
 
 
 def _flush(types: Counter, words: Counter) -> Iterator[pa.RecordBatch]:
-    rows = [(*k[:3], k[3], k[4], None, n) for k, n in types.items()] + [(t, None, None, k, "profile", b, n) for (t, k, b), n in words.items()]
+    rows = [(*k[:3], k[3], k[4], None, n) for k, n in types.items()] + [(t, None, None, k, f"profile {kind}", b, n) for (t, k, kind, b), n in words.items()]
     types.clear()
     words.clear()
     if rows:
@@ -227,7 +229,7 @@ def _replay(key: tuple, files: pd.DataFrame, reached: pd.DataFrame) -> pd.DataFr
 def steps(heads: DataFrame, block: int = BLOCK) -> DataFrame:
     """Raw differences (added, removed, retyped) of each file against the latest earlier one of its feed."""
     files = (
-        heads.where("kind <> 'profile'")
+        heads.where("bucket is null")
         .groupBy("table_name", "feed", "file_no")
         .agg(F.collect_list(F.struct("field", "kind")).alias("fields"))
         .withColumn("block", F.floor(F.col("file_no") / block).cast("long"))
@@ -245,33 +247,44 @@ def _plain(name: str):
 def pair_renames(changes: DataFrame, heads: DataFrame) -> DataFrame:
     """Among keys removed and added in one step, the pairs of one kind of content: old, new, score.
 
-    Candidates are the removed times the added keys of one step, as many as the layout has keys. Each key takes
-    its best partner that also takes it best; ties go to the first names.
+    Contents are compared as the cosine of the keys' profiles, those of the types they had at the step or those of
+    all types, whichever are closer. Candidates are the removed times the added keys of one step, as many as the
+    layout has keys. Each key takes its best partner that also takes it best; ties go to the first names.
     """
     where = ["table_name", "feed", "file_no"]
-    gone = changes.where("change_kind = 'removed'").select(*where, F.col("field_name").alias("old"))
-    come = changes.where("change_kind = 'added'").select(*where, F.col("field_name").alias("new"))
+    gone = changes.where("change_kind = 'removed'").select(*where, F.col("field_name").alias("old"), "old_type")
+    come = changes.where("change_kind = 'added'").select(*where, F.col("field_name").alias("new"), "new_type")
     both = gone.join(come, where)
-    profile = heads.where("kind = 'profile'").select("table_name", "field", "bucket", "n")
-    norm = profile.groupBy("table_name", "field").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
-    pairs = both.select("table_name", "old", "new").distinct()
+    typed = heads.where("bucket is not null").select("table_name", "field", F.substring("kind", 9, 20).alias("kind"), "bucket", "n")
+    profile = typed.unionByName(typed.groupBy("table_name", "field", "bucket").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("")))
+    norm = profile.groupBy("table_name", "field", "kind").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
+    asked = both.select("table_name", "old", "new", F.explode(F.array(F.struct("old_type", "new_type"), F.struct(F.lit("").alias("old_type"), F.lit("").alias("new_type")))).alias("t"))
+    pairs = asked.select("table_name", "old", "new", "t.*").distinct()
+    at_old, at_new = ["table_name", "old", "old_type"], ["table_name", "new", "new_type"]
     dots = (
-        pairs.join(profile.withColumnsRenamed({"field": "old", "n": "x"}), ["table_name", "old"])
-        .join(profile.withColumnsRenamed({"field": "new", "n": "y"}), ["table_name", "new", "bucket"])
-        .groupBy("table_name", "old", "new")
+        pairs.join(profile.withColumnsRenamed({"field": "old", "kind": "old_type", "n": "x"}), at_old)
+        .join(profile.withColumnsRenamed({"field": "new", "kind": "new_type", "n": "y"}), [*at_new, "bucket"])
+        .groupBy("table_name", "old", "new", "old_type", "new_type")
         .agg(F.sum(F.col("x").cast("double") * F.col("y")).alias("dot"))
     )
+    cosines = (
+        dots.join(norm.withColumnsRenamed({"field": "old", "kind": "old_type", "norm": "n_old"}), at_old)
+        .join(norm.withColumnsRenamed({"field": "new", "kind": "new_type", "norm": "n_new"}), at_new)
+        .select("table_name", "old", "new", F.struct("old_type", "new_type").alias("t"), F.try_divide("dot", F.col("n_old") * F.col("n_new")).alias("cosine"))
+    )
     scored = (
-        pairs.join(dots, ["table_name", "old", "new"], "left")
-        .join(norm.withColumnsRenamed({"field": "old", "norm": "n_old"}), ["table_name", "old"], "left")
-        .join(norm.withColumnsRenamed({"field": "new", "norm": "n_new"}), ["table_name", "new"], "left")
-        .withColumn("cosine", F.coalesce(F.try_divide("dot", F.col("n_old") * F.col("n_new")), F.lit(0.0)))
+        both.select("table_name", "old", "new", "old_type", "new_type")
+        .distinct()
+        .join(cosines, ["table_name", "old", "new"], "left")
+        .where("t is null or t = struct(old_type, new_type) or t = struct('' as old_type, '' as new_type)")
+        .groupBy("table_name", "old", "new", "old_type", "new_type")
+        .agg(F.max(F.coalesce("cosine", F.lit(0.0))).alias("cosine"))
         .withColumn("score", F.col("cosine") + F.when(_plain("old") == _plain("new"), 1.0).otherwise(0.0))
         .where(F.col("score") >= SAME_KIND)
-        .select("table_name", "old", "new", "score")
+        .select("table_name", "old", "new", "old_type", "new_type", "score")
     )
     best = (
-        both.join(scored, ["table_name", "old", "new"])
+        both.join(scored, ["table_name", "old", "new", "old_type", "new_type"])
         .withColumn("r_old", F.row_number().over(Window.partitionBy(*where, "old").orderBy(F.desc("score"), "new")))
         .withColumn("r_new", F.row_number().over(Window.partitionBy(*where, "new").orderBy(F.desc("score"), "old")))
         .where("r_old = 1 and r_new = 1")
@@ -311,7 +324,7 @@ def lineages(changes: DataFrame, heads: DataFrame) -> dict[str, tuple[str, str]]
     records. Fails above 100,000 names.
     """
     limit = 100_000
-    fields = heads.where("kind <> 'profile'").groupBy("field", "kind").agg(F.min("file_no").alias("first")).take(limit + 1)
+    fields = heads.where("bucket is null").groupBy("field", "kind").agg(F.min("file_no").alias("first")).take(limit + 1)
     pairs = changes.where("change_kind = 'renamed'").select("field_name", "new_name").distinct().take(limit + 1)
     if max(len(fields), len(pairs)) > limit:
         raise ValueError("more than 100,000 key names: these are data, not a schema")
