@@ -17,8 +17,8 @@ def _c(x: Column | str) -> Column:
 
 
 def round_printed(x: Column | str, places: int = 2) -> Column:
-    """Rounded as it prints: by the exact binary value, halves to even, no negative zero."""
-    return F.replace(F.format_number(_c(x), places), F.lit(","), F.lit("")).cast("double") + F.lit(0.0)
+    """Rounded as it prints: by the exact binary value, halves to even, no negative zero; infinities give null."""
+    return F.replace(F.format_number(_c(x), places), F.lit(","), F.lit("")).try_cast("double") + F.lit(0.0)
 
 
 def pct_change(current: Column | str, prior: Column | str) -> Column:

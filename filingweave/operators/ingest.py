@@ -38,12 +38,13 @@ def verify_bytes(content: Column) -> Column:
     """struct<status,detail> of a file's bytes before it is opened."""
     size = F.coalesce(F.octet_length(content), F.lit(0))
     head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    told = lambda status, detail: F.struct(F.lit(status).alias("status"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
     return (
-        F.when(size == 0, F.struct(F.lit("rejected").alias("status"), F.lit("Empty response").alias("detail")))
-        .when(size < MIN_BYTES, F.struct(F.lit("rejected"), F.concat(F.lit("Too small to be a filing ("), size.cast("string"), F.lit(" bytes)"))))
-        .when(size > MAX_BYTES, F.struct(F.lit("rejected"), F.lit("Larger than the 40MB limit")))
-        .when(~F.ltrim(F.regexp_replace(head, r"^\s+", "")).startswith("%PDF-"), F.struct(F.lit("rejected"), F.lit("Not a PDF — no %PDF- header")))
-        .otherwise(F.struct(F.lit("verified"), F.concat(size.cast("string"), F.lit(" bytes"))))
+        F.when(size == 0, told("rejected", "Empty response"))
+        .when(size < MIN_BYTES, told("rejected", F.concat(F.lit("Too small to be a filing ("), size.cast("string"), F.lit(" bytes)"))))
+        .when(size > MAX_BYTES, told("rejected", "Larger than the 40MB limit"))
+        .when(~F.regexp_replace(head, r"^\s+", "").startswith("%PDF-"), told("rejected", "Not a PDF — no %PDF- header"))
+        .otherwise(told("verified", F.concat(size.cast("string"), F.lit(" bytes"))))
     )
 
 
