@@ -114,8 +114,8 @@ class Items:
     def search(self, text: str | None) -> list[tuple[int, int, float, str]]:
         """(item id, words carried, share of names kept, kind) of the items a text carries or re-parameterises.
 
-        kind: `verbatim` (LEAST_WORDS or more carried), `partial` (fewer, though LEAST_WINDOWS agree), `reparameterised` (template windows over at
-        least LEAST_WORDS words met, but none with the item's fillers).
+        kind: `verbatim` (LEAST_WORDS or more carried), `reparameterised` (not so, but its template is, mostly with other
+        fillers), `partial` (neither, though LEAST_WINDOWS windows agree).
         """
         words = words_of(text)
         hashes = self.hashes(self.template(words))
@@ -144,13 +144,22 @@ class Items:
                 if around >= LEAST_WINDOWS and all(abs(diagonal - d) > BAND // 2 for d in done):
                     done.append(diagonal)
                     best, kept = max((best, kept), self._carried(k, words, diagonal))
-            if done:
-                out.append((self.rows[k][0], best, kept, "verbatim" if best >= LEAST_WORDS else "partial"))
+            if best >= LEAST_WORDS:
+                out.append((self.rows[k][0], best, kept, "verbatim"))
+            elif self._template_only(diagonals, like[k]):
+                out.append((self.rows[k][0], best, kept, "reparameterised"))
+            elif done:
+                out.append((self.rows[k][0], best, kept, "partial"))
         for k, diagonals in like.items():
-            if k not in same and max(diagonals.values()) >= LEAST_WORDS - WINDOW + 1:
+            if k not in same and self._template_only(Counter(), diagonals):
                 out.append((self.rows[k][0], 0, 0.0, "reparameterised"))
         return out
 
+    @staticmethod
+    def _template_only(same: Counter, like: Counter) -> bool:
+        """Whether the template is carried over LEAST_WORDS words or more along a diagonal, mostly with other fillers."""
+        return any(n + same[d] >= LEAST_WORDS - WINDOW + 1 and n > same[d] for d, n in like.items())
+
     def _carried(self, k: int, doc: list[str], diagonal: int) -> tuple[int, float]:
         """The longest stretch of item words carried around a diagonal, and its share of names kept."""
         words, owner = self.words[k]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD = 50_000
+WHOLE = 0.85
 
 # Abbreviations and translations of trade, middle and legal words.
 REWRITINGS = {
@@ -118,6 +119,7 @@ class Vocabulary:
                 continue
             for d in deletes(w, 2 if len(w) >= 6 else 1):
                 self.near[d].add(w)
+        self.longest = max(map(len, self.exact), default=0)
         self.word = lru_cache(maxsize=1 << 16)(self._word)
         self.canonical = lru_cache(maxsize=1 << 16)(self._canonical)
 
@@ -128,7 +130,7 @@ class Vocabulary:
         """The nearest canonical words with their slips: one of none, or all that are equally near."""
         if typed in self.exact:
             return [(self.exact[typed], 0)]
-        if len(typed) < 4:
+        if len(typed) < 4 or len(typed) > self.longest + 2:  # nothing is near enough
             return []
         most = 2 if len(typed) >= 6 else 1
         best: dict[str, int] = {}
@@ -152,7 +154,7 @@ class Vocabulary:
         if not (alone and alone[0][1] == 0):
             if len(raw) > 1:
                 heads += [([x], n + 1, 2) for x, n in self.word(w + raw[1]) if n < 2 and len(x) >= 5]
-            if len(w) >= 7:
+            if 7 <= len(w) <= 2 * self.longest + 4:
                 cuts = [(x, y, n + m + 1) for k in range(3, len(w) - 2) for x, n in self.word(w[:k]) for y, m in self.word(w[k:]) if n + m < 2]
                 least = min((c[2] for c in cuts), default=0)
                 heads += [([x, y], n, 1) for x, y, n in cuts if n == least]
@@ -253,7 +255,8 @@ def entity_forms(entities: DataFrame) -> DataFrame:
 
 
 def scored_forms(forms: DataFrame) -> DataFrame:
-    """One row per form: the entity that keeps most in it, its score, and whether another keeps as much.
+    """One row per form: the entity that keeps most in it, its score, and whether another has as good a claim: it
+    keeps as much, or the form leaves words out of all their names (below WHOLE), so that any may be meant.
 
     Score: what the form keeps of the name, plus a tenth of its rarity (one over the entities that have it).
     """
@@ -265,7 +268,7 @@ def scored_forms(forms: DataFrame) -> DataFrame:
         .withColumn("at", F.row_number().over(place))
         .withColumn("next", F.lead("kept").over(place))
         .where("at = 1")
-        .select("form", "code", (F.col("kept") + F.lit(0.1) / F.col("n")).alias("score"), (F.col("kept") == F.coalesce("next", F.lit(-1.0))).alias("tied"))
+        .select("form", "code", (F.col("kept") + F.lit(0.1) / F.col("n")).alias("score"), (F.col("next").isNotNull() & ((F.col("kept") == F.col("next")) | (F.col("kept") < WHOLE))).alias("tied"))
     )
 
 
@@ -283,7 +286,7 @@ def typed_forms(typed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None, shard: int = SHARD) -> DataFrame:
     """(row_id, stock_code, score) for every typed name (row_id, company) that means an entity (stock_code, name,
-    short_name, notes); `others` has names (name) known but not on the list.
+    short_name, notes); `others` has names (name, and short_name and notes if it has them) known but not on the list.
 
     Names with no rewriting in common, and ties, link to nothing. Null, empty and punctuation-only names link to
     nothing; repeated rows link alike; entities without a name keep their short name; a name listed under two codes
@@ -293,10 +296,11 @@ def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None,
     listed = entities.select(F.col("stock_code").cast("string").alias("code"), "name", "short_name", "notes").where("code is not null")
     pool = listed
     if others is not None:
-        known = listed.select(F.upper(F.trim("name")).alias("name")).where("name is not null").distinct()
-        out = others.select(F.upper(F.trim("name")).alias("name")).where("name is not null").distinct().join(known, "name", "left_anti")
+        known = listed.select(F.upper(F.trim("name")).alias("key")).where("key is not null").distinct()
         none = F.lit(None).cast("string")
-        pool = listed.unionByName(out.select(none.alias("code"), "name", none.alias("short_name"), none.alias("notes")))
+        told = [F.col(c) if c in others.columns else none.alias(c) for c in ("short_name", "notes")]
+        rest = others.where("name is not null").select(none.alias("code"), "name", *told).distinct()
+        pool = listed.unionByName(rest.join(known, F.upper(F.trim(rest["name"])) == known["key"], "left_anti"))
     count = pool.count()
     shards = max(1, -(-count // shard))
     best = scored_forms(entity_forms(pool))
@@ -304,7 +308,7 @@ def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None,
     for k in range(shards):
         mine = pool if shards == 1 else pool.where(F.pmod(F.xxhash64(F.coalesce("name", "short_name", F.lit(""))), F.lit(shards)) == k)
         words: set[str] = set()
-        for r in mine.select("name", "short_name", "notes").toLocalIterator():
+        for r in mine.select("name", "short_name", "notes").distinct().toLocalIterator():
             words |= entity_words(r["name"] or "", r["short_name"], r["notes"])
         part = typed_forms(typed, Vocabulary(words))
         found = part if found is None else found.unionByName(part)
