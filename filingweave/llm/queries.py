@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingweave.llm import abuse, history, leakage, mixing, names
+from filingweave.session import shared_folder
 from filingweave.sources.tables import table
 
 
@@ -18,6 +21,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.link_all(table(spark, d, "announcements"), table(spark, d, "companies"))
 
 
+def p5_last_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The repeats in the last batch, found by merging it into the persisted runs of all batches before."""
+    rows, companies = table(spark, d, "announcements"), table(spark, d, "companies")
+    last = rows.agg(F.max("batch_no")).first()[0]
+    runs = history.Runs(spark, f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}")
+    runs.add(rows.where(F.col("batch_no") < last), companies)
+    return runs.add(rows.where(F.col("batch_no") == last), companies)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
     return found.where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
@@ -52,6 +64,6 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p7_shares": p7_shares, "p7_selection": p7_selection, "p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates,
-    "p2_found": p2_found, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report,
+    "p2_found": p2_found, "p5_found": p5_found, "p5_last_batch": p5_last_batch, "p6_found": p6_found, "p6_report": p6_report,
 }
 ORACLES: dict[str, str] = {}
