@@ -39,6 +39,8 @@ _TYPES = {str: "string", bool: "boolean", int: "number", float: "number", dict:
 _WORD = re.compile(r"[^\W\d_]+|\d+")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"\d")
+#: Escapes of half a surrogate pair, which no string may hold.
+_LONE = re.compile(r"\\u[dD][89abAB][0-9a-fA-F]{2}(?!\\u[dD][c-fC-F][0-9a-fA-F]{2})|(?<!\\u[dD][89abAB][0-9a-fA-F]{2})\\u[dD][c-fC-F][0-9a-fA-F]{2}")
 
 
 def json_type(value: object) -> str:
@@ -104,6 +106,8 @@ def parse(text: object) -> object:
     """The JSON value, or None where the text is null, empty, cut off or otherwise unreadable."""
     if not isinstance(text, str) or not text:
         return None
+    if "\\u" in text:
+        text = _LONE.sub(r"\\ufffd", text)
     try:
         return json.loads(text)
     except (ValueError, RecursionError):
@@ -149,6 +153,7 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
 
     return (
         raw.select("table_name", "feed", F.col("file_no").cast("long").alias("file_no"), F.col("body").cast("string").alias("body"))
+        .where("file_no is not null")
         .mapInArrow(scan, HEADERS)
         .groupBy("table_name", "feed", "file_no", "field", "kind", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -301,7 +306,7 @@ def drift(heads: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Defined cases: files without a readable keyed record (null, empty, cut off, positional) neither differ nor
     serve as an earlier file; the first readable file of a feed has no changes; a file sent again counts once;
-    null values tell no type.
+    null values tell no type; a record without a file number belongs to no file.
     """
     changes = cut(steps(heads, block))
     where = ["table_name", "feed", "file_no"]

@@ -86,5 +86,8 @@ def test_unified_table(spark):
     assert [(r["issuer"], r["n"], r["f_feed"]) for r in rows] == [("A BERHAD", "1", "q"), ("B BERHAD", "2", None), ("C BERHAD", '{"v": 3}', None)]
 
 
-def test_empty(spark):
+def test_empty_and_odd_records(spark):
     assert run(spark, []) == set()
+    odd = ['{"a\\ud800": "x\\udfff", "k": NaN}', "[" * 100_000, '{"a": ' * 5000, '"text"', "7", '{"deep": ' + "[" * 400 + "]" * 400 + "}", '{"e": "\\ud83d\\ude00"}']
+    got = run(spark, [("f", None, {"z": 1}), *(("f", i, x) for i, x in enumerate(odd))])
+    assert {(n, kind) for _, n, kind, _, _ in got} == {(5, "added"), (5, "removed"), (6, "added"), (6, "removed")}
