@@ -21,7 +21,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+from filingweave.operators.joins import SALTS, salted_join
 
 
 @dataclass(frozen=True)
@@ -85,11 +85,7 @@ def orphans(rows: DataFrame, targets: DataFrame, ref: Reference, salts: int = SA
 
 def _unmatched(part: DataFrame, parent: DataFrame, on: list[str], salts: int) -> DataFrame:
     known = parent.where(" and ".join(f"{n} is not null" for n in on)).groupBy(*on).agg(F.min("__t").alias("__first"), F.lit(True).alias("__there"))
-    if salts > 1:
-        known = known.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        part = part.withColumn("__salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)).cast("int"))
-        on = [*on, "__salt"]
-    joined = part.join(known, on, "left")
+    joined = salted_join(part, known, on, "row_id", "left", salts)
     later: Column = F.col("__first") > F.col("row_time")
     return joined.where(F.col("__there").isNull() | F.coalesce(later, F.lit(False))).select(
         "row_id", "row_time", F.when(F.col("__there").isNull(), "missing").otherwise("later").alias("reason")

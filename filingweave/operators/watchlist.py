@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingweave.functions.text import identifying_tokens
+from filingweave.operators.joins import salted_join
 
 
 def match_by_code(rows: DataFrame, code: str, companies: DataFrame, company_code: str = "stock_code") -> DataFrame:
@@ -37,7 +38,7 @@ def match_by_tokens(rows: DataFrame, row_id: str, name: str, companies: DataFram
         .where("overlap = least(n_typed, n_own)")
     )
     best = shared.groupBy("set_id").agg(F.max_by(F.struct("company_id", "overlap"), F.struct("overlap", -F.col("company_id"))).alias("b"))
-    return typed.withColumn("set_id", F.xxhash64("words")).join(best, "set_id").select("row_id", F.col("b.company_id").alias("company_id"), F.col("b.overlap").alias("overlap"))
+    return salted_join(typed.withColumn("set_id", F.xxhash64("words")), best, ["set_id"], "row_id").select("row_id", F.col("b.company_id").alias("company_id"), F.col("b.overlap").alias("overlap"))
 
 
 def reconcile(held: DataFrame, given: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
