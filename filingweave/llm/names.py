@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingweave.operators.joins import salted_join
+
 SHARD = 50_000
 WHOLE = 0.85
 
@@ -312,6 +314,6 @@ def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None,
             words |= entity_words(r["name"] or "", r["short_name"], r["notes"])
         part = typed_forms(typed, Vocabulary(words))
         found = part if found is None else found.unionByName(part)
-    scored = found.join(best, "form").withColumn("score", F.col("score") - 0.02 * F.col("made"))
+    scored = salted_join(found, best, ["form"], "row_id").withColumn("score", F.col("score") - 0.02 * F.col("made"))
     ranked = scored.groupBy("row_id").agg(F.max_by(F.struct("code", "tied", "score"), F.struct("score", "form")).alias("b"))
     return ranked.where("not b.tied and b.code <> ''").select("row_id", F.col("b.code").alias("stock_code"), F.col("b.score").alias("score"))
