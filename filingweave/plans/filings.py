@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingweave.functions import dates, numeric, urls
+from filingweave.functions import answers, dates, numeric, urls
 from filingweave.functions import text as tx
-from filingweave.operators import audit, evaluate, evidence, growth, ingest, validate, watchlist
+from filingweave.operators import audit, evaluate, evidence, growth, ingest, requests, validate, watchlist
 from filingweave.session import shared_folder
 from filingweave.sources import listing
 from filingweave.sources.store import Store
@@ -163,6 +163,22 @@ def host_key_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""with u as (select {_HOSTED} as url, min(id) as first from announcements where url like '/%' group by 1), h as (select *, case when starts_with(url, 'https://www.Example.com') then 'https://www.example.com' when starts_with(url, 'https://www.example.com') then 'https://www.example.com:8443' else 'https://www.example.org' end as host from u),
+r as (select *, row_number() over (partition by host order by first, url) as at_host from h), k as (select * from r where at_host <= 8 order by first, url limit 20)
+select url, host, at_host, row_number() over (order by first, url) as place, (at_host - 1) * 3.0 as earliest_s from k""")
+def request_plan(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "announcements").where("url like '/%'").select("id", F.expr(_HOSTED).alias("url"))
+    done = requests.plan(rows, "url", "id", per_run=20, per_host=8, delay=3.0)
+    return done.select("url", "host", F.col("at_host").cast("long").alias("at_host"), F.col("place").cast("long").alias("place"), "earliest_s")
+
+
+@query("""select id, case when id % 7 = 0 then 'cut_off' when trim(coalesce(raw_json, '')) = '' then 'empty' when not json_valid(raw_json) then 'not_json' else 'ok' end as status from announcements""")
+def answer_triage(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records in the place of a model's answers, every seventh cut off."""
+    reason = F.when(F.col("id") % 7 == 0, "length").otherwise("stop")
+    return table(spark, d, "announcements").select("id", answers.triage(reason, F.col("raw_json"))["status"].alias("status"))
+
+
 @query("select id, coalesce(nullif(json_extract_string(try_cast(raw_json as json), '$.title'), ''), nullif(json_extract_string(try_cast(raw_json as json), '$.subject'), '')) as title, coalesce(nullif(json_extract_string(try_cast(raw_json as json), '$.company'), ''), nullif(json_extract_string(try_cast(raw_json as json), '$.issuer'), ''), nullif(json_extract_string(try_cast(raw_json as json), '$.entity'), '')) as company from announcements where raw_json like '{%}'")
 def alias_lookup(spark: SparkSession, d: str) -> DataFrame:
     record = F.from_json("raw_json", "map<string,string>")

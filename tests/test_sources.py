@@ -3,7 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from filingweave.sources import html, listing
+from filingweave.functions import answers
+from filingweave.operators import requests
+from filingweave.sources import files, html, listing
 from filingweave.sources.store import CommitConflict, Store
 from filingweave.streaming import poll
 
@@ -91,3 +93,25 @@ def test_replayed_batch_is_a_no_op(spark, tmp_path):
     accept(batch, 0)
     accept(spark.createDataFrame([(2, "z")], "id long, key string"), 0)
     assert [r.key for r in store.read("t").collect()] == ["a"]
+
+
+def test_watchlist_file(spark, tmp_path):
+    path = tmp_path / "w.json"
+    path.write_text(json.dumps([{"stock_code": "1", "name": "A"}, {"stock_code": "1", "name": "A2", "is_active": False}, {"stock_code": "2"}, {"name": "x"}, {"stock_code": "3", "name": "C", "notes": "n", "more": 1}]))
+    assert {(r.stock_code, r.name, r.is_active) for r in files.read_watchlist(spark, str(path)).collect()} == {("1", "A2", False), ("3", "C", True)}
+    for text in ("{}", "[{", ""):
+        path.write_text(text)
+        assert files.read_watchlist(spark, str(path)).count() == 0
+    assert files.read_watchlist(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_triage(spark):
+    rows = spark.createDataFrame([("stop", '{"a": 1}'), ("length", '{"a"'), ("stop", "  "), ("stop", None), (None, "{oops")], "r string, c string")
+    got = [tuple(r[0]) for r in rows.select(answers.triage(F.col("r"), F.col("c"))).collect()]
+    assert [g[0] for g in got] == ["ok", "cut_off", "empty", "empty", "not_json"] and got[0][1] is None and got[4][1].endswith("{oops")
+
+
+def test_request_plan(spark):
+    rows = spark.createDataFrame([(i, f"https://h{i % 3}.org/{i}") for i in range(12)] + [(1, "ftp://x/y"), (2, None), (99, "https://h0.org/0")], "n int, u string")
+    got = requests.plan(rows, "u", "n", per_run=5, per_host=2, hosts=2, delay=0.1).orderBy("place").collect()
+    assert [(r.url[-1], r.at_host, r.earliest_s) for r in got] == [("0", 1, 0.0), ("1", 1, 0.0), ("3", 2, 2.0), ("4", 2, 2.0)]
