@@ -6,6 +6,7 @@ the text around it is. Disguises are undone first (look-alike characters, spaced
 
 Training, on a bounded sample of labelled documents (`MAX_LABELLED`) and the seed sentences of `abuse_seeds`:
 
+* training reads at most `MAX_LABELLED_CHARS` characters of them;
 * labels belong to documents and raters err, so windows are latent: each round, a document's worst window stands for
   it; documents rated abusive whose worst window the model finds harmless lose weight;
 * *counterfactual regularisation*: in every training window the identity terms are swapped for others, and the squared
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from filingweave.llm.abuse_seeds import ABUSIVE, HARMLESS
 
 MAX_LABELLED = 6_000
+MAX_LABELLED_CHARS = 12_000_000
 SPAN = 12
 BITS = 20
 DIM = 1 << BITS
@@ -39,6 +41,7 @@ LEAST_TRUST = 0.05
 SWAP_PENALTY = 0.3
 SEED_WEIGHT = 2.0
 THRESHOLD = 0.5
+PIECE = 100_000
 
 # Word classes. Words are in the form that `words_of` gives.
 CLASSES = {
@@ -124,8 +127,8 @@ def _join_spaced(match: re.Match) -> str:
     return letters
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, undisguised and in lower case; figures are '#', Chinese words of the classes are whole."""
+def tokens_of(text: str | None) -> list[str]:
+    """The tokens of a text in lower case as they are written, spaced words joined; Chinese class words are whole."""
     text = text or ""
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
@@ -133,14 +136,24 @@ def words_of(text: str | None) -> list[str]:
     if "<" in text or "&" in text:
         text = _TAG.sub(" ", text)
     text = _SPACED.sub(_join_spaced, text.lower())
-    if not text.isascii():
-        text = _HAN_WORDS.sub(lambda m: " \x01" + m[0] + "\x01 ", text)
-        out = []
-        for k, piece in enumerate(text.split("\x01")):
-            out += [piece] if k % 2 else _TOKEN.findall(piece)
-    else:
-        out = _TOKEN.findall(text)
-    return [_unstretch(p) if len(p) > 3 else p for p in map(_plain, out)]
+    if text.isascii():
+        return _TOKEN.findall(text)
+    text = _HAN_WORDS.sub(lambda m: " \x01" + m[0] + "\x01 ", text)
+    out = []
+    for k, piece in enumerate(text.split("\x01")):
+        out += [piece] if k % 2 else _TOKEN.findall(piece)
+    return out
+
+
+@lru_cache(maxsize=1 << 17)
+def _undisguised(token: str) -> str:
+    word = _plain(token)
+    return _unstretch(word) if len(word) > 3 else word
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, undisguised and in lower case; figures are '#', Chinese words of the classes are whole."""
+    return [_undisguised(t) for t in tokens_of(text)]
 
 
 _NAMES = {c: i + 1 for i, c in enumerate([*CLASSES, "GROUP", "MASK", "FIGURE", "NEGATION"])}
@@ -178,19 +191,21 @@ def patterns(words: list[str]) -> np.ndarray:
 
     Words, pairs and triples of words, and pairs and triples of classes up to three apart.
     """
-    n = len(words)
-    if n == 0:
-        return np.zeros((0, 8), dtype=np.int64)
-    both = np.array([_codes(w) for w in words], dtype=np.uint64)
-    w, c = both[:, 0], both[:, 1]
+    both = np.array([_codes(w) for w in words], dtype=np.uint64).reshape(-1, 2)
+    return _patterns(both[:, 0], both[:, 1])
+
+
+def _patterns(w: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The same from hashes and classes; a hash of 0 is a gap that no pattern spans."""
+    n = len(w)
     out = np.zeros((n, 8), dtype=np.uint64)
+    word = w != 0
     with np.errstate(over="ignore"):
-        out[:, 0] = _mix(w)
+        out[:, 0] = np.where(word, _mix(w), 0)
         if n > 1:
-            pair = w[:-1] * np.uint64(31) + w[1:] * np.uint64(7)
-            out[1:, 1] = _mix(pair)
+            out[1:, 1] = np.where(word[:-1] & word[1:], _mix(w[:-1] * np.uint64(31) + w[1:] * np.uint64(7)), 0)
         if n > 2:
-            out[2:, 2] = _mix(w[:-2] * np.uint64(131) + w[1:-1] * np.uint64(17) + w[2:] * np.uint64(3))
+            out[2:, 2] = np.where(word[:-2] & word[1:-1] & word[2:], _mix(w[:-2] * np.uint64(131) + w[1:-1] * np.uint64(17) + w[2:] * np.uint64(3)), 0)
         for k in (1, 2, 3):
             if n > k:
                 a, b = c[:-k], c[k:]
@@ -206,7 +221,7 @@ def patterns(words: list[str]) -> np.ndarray:
 
 def window_scores(found: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     """The score of the window of SPAN words that ends at each position (shorter at the start)."""
-    total = np.concatenate([[0.0], np.cumsum(weights[found].sum(axis=1))])
+    total = np.concatenate([[0.0], np.cumsum(weights[found].sum(axis=1, dtype=np.float64))])
     n = len(found)
     ends = np.arange(1, n + 1)
     return total[ends] - total[np.maximum(0, ends - SPAN)] + bias
@@ -218,16 +233,69 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float) -> None:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
         self.weights[0] = 0
+        self._forget()
 
     def __reduce__(self) -> tuple:
         at = np.flatnonzero(self.weights)
         return _restore, (at.astype(np.int32), self.weights[at], self.bias)
 
     def score(self, text: str | None) -> float:
-        found = patterns(words_of(text))
-        if not len(found):
-            return 0.0
-        return float(1 / (1 + np.exp(-np.clip(window_scores(found, self.weights, self.bias).max(), -30, 30))))
+        return self.score_many([text])[0]
+
+    def score_many(self, texts: list[str | None]) -> list[float]:
+        """Scores of texts, worked out together; texts longer than PIECE words in overlapping pieces."""
+        out: list[float] = []
+        pieces: list[list[str]] = []
+        skips: list[int] = []
+        owner: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            tokens = tokens_of(text)
+            for first in range(0, max(1, len(tokens)), PIECE):
+                skip = min(first, SPAN + 2)
+                pieces.append(tokens[first - skip : first + PIECE])
+                skips.append(skip)
+                owner.append(k)
+                size += len(pieces[-1])
+                if size > PIECE or k == len(texts) - 1:
+                    for j, x in zip(owner, self._worst(pieces, skips), strict=True):
+                        out += [0.0] * (j + 1 - len(out))
+                        out[j] = max(out[j], x)
+                    pieces, skips, owner, size = [], [], [], 0
+        return out
+
+    def _worst(self, pieces: list[list[str]], skips: list[int]) -> list[float]:
+        """The score of the worst window of each piece, without the windows that end in its first `skip` words. The
+        pieces are laid end to end with gaps that no pattern spans."""
+        codes, hashes, classes = self.codes, self.hashes, self.classes
+        laid: list[int] = []
+        bounds: list[int] = []
+        for tokens, skip in zip(pieces, skips, strict=True):
+            bounds.append(len(laid) + skip)
+            for token in tokens:
+                if token[0] <= "9" and token.replace(",", "").replace(".", "").isdigit():
+                    token = "#"
+                at = codes.get(token)
+                if at is None:
+                    at = codes[token] = len(hashes)
+                    h, c = _codes("#" if token == "#" else _undisguised(token))
+                    hashes.append(h or 1)
+                    classes.append(c)
+                laid.append(at)
+            bounds.append(len(laid))
+            laid += [0] * SPAN
+        ids = np.array(laid, dtype=np.int64)
+        found = _patterns(np.array(hashes, dtype=np.uint64)[ids], np.array(classes, dtype=np.uint64)[ids])
+        s = np.append(window_scores(found, self.weights, self.bias), -np.inf)
+        worst = np.maximum.reduceat(s, np.array(bounds))[::2]
+        some = np.diff(np.array(bounds))[::2] > 0
+        if len(hashes) > 1 << 18:  # the memo starts anew
+            self._forget()
+        return np.where(some, 1 / (1 + np.exp(-np.clip(worst, -30, 30))), 0.0).tolist()
+
+    def _forget(self) -> None:
+        self.codes: dict[str, int] = {}
+        self.hashes, self.classes = [0], [0]
 
 
 def _restore(at: np.ndarray, values: np.ndarray, bias: float) -> Model:
@@ -328,13 +396,17 @@ def train(texts: list[str], votes: list[float]) -> Model:
     return Model(w, bias)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[list[str], list[float]]:
-    """At most `most` labelled documents, the lowest hashes of their ids; each with the share of raters for abusive."""
+def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_chars: int = MAX_LABELLED_CHARS) -> tuple[list[str], list[float]]:
+    """At most `most` labelled documents and `most_chars` characters, the lowest hashes of their ids first; each with
+    the share of raters for abusive."""
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("vote"))
     picked = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id").toLocalIterator()
-    texts, shares = [], []
+    rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()
+    texts, shares, chars = [], [], 0
     for r in rows:
+        chars += len(r["text"])
+        if chars > most_chars:
+            break
         texts.append(r["text"])
         shares.append(float(r["vote"]))
     return texts, shares
@@ -353,8 +425,7 @@ def score(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score_many(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, SCORED)
 

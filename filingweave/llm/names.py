@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from filingweave.operators.joins import salted_join
 
-SHARD = 50_000
+SHARD = 5_000
 WHOLE = 0.85
 
 # Abbreviations and translations of trade, middle and legal words.

@@ -38,6 +38,18 @@ def test_a_passage_counts_in_a_long_text(seeds_only):
     assert seeds_only.score(filler) < 0.5 < seeds_only.score(filler + "you are an idiot and everyone knows it. " + filler)
 
 
+def test_texts_together_and_in_pieces_score_as_alone(seeds_only, monkeypatch):
+    def alone(text):
+        found = a.patterns(a.words_of(text))
+        return float(1 / (1 + np.exp(-np.clip(a.window_scores(found, seeds_only.weights, seeds_only.bias).max(), -30, 30)))) if len(found) else 0.0
+
+    texts = [*ABUSIVE, "", None, "1,234.5", *HARMLESS, " ".join(ABUSIVE + HARMLESS), ""]
+    for piece in (100_000, 40, 13):
+        monkeypatch.setattr(a, "PIECE", piece)
+        assert seeds_only.score_many(texts) == pytest.approx([alone(t) for t in texts], abs=1e-4)
+    assert seeds_only.score_many([]) == []
+
+
 def test_identity_terms_alone_do_not_raise_scores(seeds_only):
     sentences = ["{} work in the finance team and attend the annual meeting", "a third of the shareholders are {}", "{} opened a shop near the plant in May"]
     groups = ["women", "migrants", "foreigners", "muslims", "jews", "natives", "refugees", "analysts"]
