@@ -18,15 +18,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingweave.session import cut
+
 PENALTY = 0.5
 TOLERANCE = 0.75
 SALTS = 8
@@ -187,34 +191,35 @@ POINT_KEY = ["source", "field_name", "period", "stated"]
 SEGMENTED = "source string, field_name string, period long, stated int, segment int, level double, unit_change int, implied int"
 
 
-def _segment_history(pdf: pd.DataFrame, penalty: float) -> pd.DataFrame:
-    h = pdf.sort_values(["period", "stated"], na_position="last", kind="stable").reset_index(drop=True)
-    values = h["log_sum"].to_numpy(float) / h["n"].to_numpy(float)
-    number = segments(values, h["n"].to_numpy(float), penalty)
-    h["segment"] = number
-    level = [float(np.average(values[number == k], weights=h["n"].to_numpy(float)[number == k])) for k in range(number.max() + 1)]
-    unit: list[int | None] = []
-    for k in range(len(level)):
-        told = h[(h["segment"] == k) & h["stated"].notna()]
-        unit.append(int(told.groupby("stated")["n"].sum().idxmax()) if len(told) else None)
-    known = [k for k, u in enumerate(unit) if u is not None]
-    implied: list[int | None] = []
-    change: list[int | None] = [None]
-    for k in range(len(level)):
-        if unit[k] is not None or not known:
-            implied.append(unit[k])
-        else:
+Point = tuple[int | None, int | None, int, float]
+
+
+def place_points(points: list[Point], penalty: float = PENALTY) -> list[tuple]:
+    """The points of one history (period, stated unit, n, sum of logs; in order) with segment, level, unit_change at a
+    segment's first point, and the unit its segment implies."""
+    n = np.array([p[2] for p in points], dtype=float)
+    values = np.array([p[3] for p in points]) / n
+    number = segments(values, n, penalty)
+    count = int(number[-1]) + 1
+    level = (np.bincount(number, values * n, count) / np.bincount(number, n, count)).tolist()
+    told: list[Counter] = [Counter() for _ in range(count)]
+    for k, (_, stated, weight, _) in zip(number, points, strict=True):
+        if stated is not None:
+            told[k][stated] += weight
+    unit = [min(c, key=lambda u: (-c[u], u)) if c else None for c in told]
+    known = [k for k in range(count) if unit[k] is not None]
+    implied = list(unit)
+    for k in range(count) if known else ():
+        if unit[k] is None:
             anchor = min(known, key=lambda a: (abs(a - k), a))
             shift = snap(level[k] - level[anchor])
-            implied.append(unit[anchor] - shift if shift is not None and unit[anchor] - shift in KNOWN_UNITS else None)
-        if k:
-            change.append(snap(level[k] - level[k - 1]))
-    h["level"] = [level[k] for k in number]
-    first = np.concatenate([[True], number[1:] != number[:-1]])
-    h["unit_change"] = pd.array([change[k] if f else None for k, f in zip(number, first, strict=True)], dtype="Int32")
-    h["implied"] = pd.array([implied[k] for k in number], dtype="Int32")
-    h["stated"] = h["stated"].astype("Int32")
-    return h[[c.split()[0] for c in SEGMENTED.split(", ")]]
+            implied[k] = unit[anchor] - shift if shift is not None and unit[anchor] - shift in KNOWN_UNITS else None
+    out, last = [], -1
+    for k, (period, stated, _, _) in zip(number.tolist(), points, strict=True):
+        change = snap(level[k] - level[k - 1]) if k != last and k else None
+        out.append((period, stated, k, level[k], change, implied[k]))
+        last = k
+    return out
 
 
 READ = "id long, source string, period long, field_name string, figure double, stated int, basis string"
@@ -223,25 +228,24 @@ READ = "id long, source string, period long, field_name string, figure double, s
 def read_rows(reports: DataFrame) -> DataFrame:
     """One row per report and field with a figure: its stated unit (power of ten or null) and where it is stated."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for r in pdf.itertuples(index=False):
-                labels, text = field_labels(r.unit_raw), None
-                for field, figure in (("revenue", r.revenue_current), ("pbt", r.pbt_current)):
-                    if figure is None or math.isnan(figure) or math.isinf(figure):
+            for number, source, period, label, title, first, second, revenue, pbt in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                labels, text, read = field_labels(label), None, False
+                for field, figure in (("revenue", revenue), ("pbt", pbt)):
+                    if figure is None or not math.isfinite(figure):
                         continue
                     stated, basis = read_unit(labels[field]), "label"
                     if stated is None:
-                        if text is None:
-                            text = next((p for p in map(stated_in, (r.title, r.management_commentary, r.outlook_summary)) if p is not None), "none")
-                        stated = None if text == "none" else text
-                        basis = "text" if stated is not None else "history" if NOTHING.match(labels[field] or "") else "label_history"
-                    rows.append((r.id, r.source, r.period, f"{field}_current", float(figure), stated, basis))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in READ.split(", ")])
-            for name, kind in (("id", "Int64"), ("period", "Int64"), ("stated", "Int32")):
-                out[name] = out[name].astype(kind)
-            yield out
+                        if not read:
+                            text, read = next((p for p in map(stated_in, (title, first, second)) if p is not None), None), True
+                        stated = text
+                        basis = "text" if text is not None else "history" if NOTHING.match(labels[field] or "") else "label_history"
+                    rows.append((number, source, period, f"{field}_current", figure, stated, basis))
+            if rows:
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
 
     quarter = F.regexp_extract(F.coalesce("fiscal_quarter", F.lit("")), "([1-4])", 1).try_cast("long")
     return reports.select(
@@ -254,17 +258,44 @@ def read_rows(reports: DataFrame) -> DataFrame:
         "outlook_summary",
         F.col("revenue_current").cast("double").alias("revenue_current"),
         F.col("pbt_current").cast("double").alias("pbt_current"),
-    ).mapInPandas(scan, READ)
+    ).mapInArrow(scan, READ)
 
 
 def segmented_histories(read: DataFrame, penalty: float = PENALTY) -> DataFrame:
-    """The points of each source's history (one per period and stated unit) with their segments."""
-    points = (
+    """The points of each source's history (one per period and stated unit) with their segments.
+
+    Histories are read one after the other from sorted partitions; one holds as many points as it has periods and
+    units.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, points, out = None, [], []
+        for batch in batches:
+            for source, field, *point in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (source, field) != at:
+                    out += [(*at, *p) for p in place_points(points, penalty)] if points else []
+                    at, points = (source, field), []
+                points.append(tuple(point))
+            yield from _arrow(out)
+            out = []
+        if points:
+            yield from _arrow([(*at, *p) for p in place_points(points, penalty)])
+
+    return (
         read.where("figure <> 0")
         .groupBy(*POINT_KEY)
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.log10(F.abs("figure"))).alias("log_sum"))
+        .select(*POINT_KEY, "n", "log_sum")
+        .repartition("source", "field_name")
+        .sortWithinPartitions("source", "field_name", F.asc_nulls_first("period"), F.asc_nulls_last("stated"))
+        .mapInArrow(scan, SEGMENTED)
     )
-    return points.groupBy("source", "field_name").applyInPandas(lambda pdf: _segment_history(pdf, penalty), SEGMENTED)
+
+
+def _arrow(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SEGMENTED.split(", ")])
 
 
 def _whole(figure: pd.Series, power: pd.Series) -> pd.Series:
@@ -287,7 +318,7 @@ def convert(reports: DataFrame, penalty: float = PENALTY, salts: int = SALTS) ->
     ''; a null year is a period of its own, ordered first; a figure without any unit has amount null, as has one
     beyond 63 bits.
     """
-    read = read_rows(reports).distinct()
+    read = cut(read_rows(reports).distinct())
     places = segmented_histories(read, penalty)
     salted = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnsRenamed({c: f"p_{c}" for c in POINT_KEY})
     rows = read.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
