@@ -83,11 +83,11 @@ class Items:
         common = Counter(w for words, _ in self.words for w in set(words) if not w[0].isdigit() and w not in names)
         self.code = {w: 3 + i for i, w in enumerate(sorted(common))}
         self.code.update(dict.fromkeys(UNITS, 2))
-        self.windows: dict[int, list[tuple[int, int, tuple]]] = defaultdict(list)
+        self.windows: dict[int, dict[tuple, list[tuple[int, int]]]] = defaultdict(dict)
         for k, (words, _) in enumerate(self.words):
             hashes = self.hashes(self.template(words))
             for pos, h in enumerate(hashes.tolist()):
-                self.windows[h].append((k, pos, tuple(words[pos : pos + WINDOW])))
+                self.windows[h].setdefault(tuple(words[pos : pos + WINDOW]), []).append((k, pos))
         self.known = np.sort(np.fromiter(self.windows, dtype=np.int64, count=len(self.windows)))
 
     def __reduce__(self) -> tuple:
@@ -124,17 +124,20 @@ class Items:
         at = np.searchsorted(self.known, hashes)
         at[at == len(self.known)] = 0
         hit = np.flatnonzero(self.known[at] == hashes)
-        if not len(hit):
+        if len(hit) < LEAST_WINDOWS:  # too few for any kind
             return []
         same: dict[int, Counter] = defaultdict(Counter)
         like: dict[int, Counter] = defaultdict(Counter)
         for p in hit.tolist():
-            filled = tuple(words[p : p + WINDOW])
-            for k, pos, own in self.windows[int(hashes[p])]:
-                if own == filled:
-                    same[k][p - pos] += 1
-                else:
-                    like[k][p - pos] += 1
+            for k, pos in self.windows[int(hashes[p])].get(tuple(words[p : p + WINDOW]), ()):
+                same[k][p - pos] += 1
+        if len(hit) >= LEAST_WORDS - WINDOW + 1:
+            for p in hit.tolist():
+                own = tuple(words[p : p + WINDOW])
+                for filled, places in self.windows[int(hashes[p])].items():
+                    if filled != own:
+                        for k, pos in places:
+                            like[k][p - pos] += 1
         out = []
         for k, diagonals in same.items():
             best, kept = 0, 0.0
