@@ -19,7 +19,16 @@ def _parsed(x: Column) -> Column:
 def normalise_date(x: Column | str) -> Column:
     """ISO date of a cell, or null. What stands before a '|' counts; a date anywhere in it is found; an ISO-shaped
     run inside a longer text is taken as it is."""
-    text = F.trim(F.substring_index(strip_tags(x), "|", 1))
+    return date_in(shown_date(x))
+
+
+def shown_date(x: Column | str) -> Column:
+    """What a date cell shows before a '|'."""
+    return F.trim(F.substring_index(strip_tags(x), "|", 1))
+
+
+def date_in(text: Column) -> Column:
+    """The same as `normalise_date` of a text without markup."""
     runs = F.regexp_extract_all(text, F.lit(SHAPES), 0)
     read = F.filter(F.transform(runs, lambda r: F.when(r.rlike(r"^\d{4}-\d{2}-\d{2}$"), r).otherwise(_parsed(r))), lambda r: r.isNotNull())
     return F.coalesce(_parsed(text), F.get(read, F.lit(0)))

@@ -63,17 +63,18 @@ def is_pdf(href: Column) -> Column:
     return F.substring_index(F.lower(href), "?", 1).endswith(".pdf")
 
 
-def attachments(cell: Column | str) -> Column:
-    """array<struct<filename,url>>: the PDF links of a cell, named by their label or the tail of the url."""
+def attachments(cell: Column | str, found: Column | None = None) -> Column:
+    """array<struct<filename,url>>: the PDF links of a cell, named by their label or the tail of the url. `found`: the
+    cell's links, where they are at hand."""
     return F.transform(
-        F.filter(links(cell), lambda a: is_pdf(a["href"])),
+        F.filter(links(cell) if found is None else found, lambda a: is_pdf(a["href"])),
         lambda a: F.struct(F.coalesce(F.nullif(a["label"], F.lit("")), F.substring_index(a["href"], "/", -1)).alias("filename"), a["href"].alias("url")),
     )
 
 
-def headline(cell: Column | str) -> Column:
+def headline(cell: Column | str, found: Column | None = None) -> Column:
     """The label of the first anchor that is no PDF, else the visible text."""
-    named = F.filter(links(cell), lambda a: (a["label"] != "") & ~is_pdf(a["href"]))
+    named = F.filter(links(cell) if found is None else found, lambda a: (a["label"] != "") & ~is_pdf(a["href"]))
     return F.coalesce(F.get(named, F.lit(0))["label"], strip_tags(cell))
 
 

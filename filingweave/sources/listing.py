@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingweave.functions import text as tx
-from filingweave.functions.dates import normalise_date
+from filingweave.functions.dates import date_in, shown_date
 from filingweave.sources.html import read_rows
 
 # Keys a listing may use for each field, in order, and for the list itself.
@@ -26,57 +26,72 @@ class ListingError(ValueError):
     """A payload is no listing of a known shape, which is not the same as an empty one."""
 
 
-def _first(record: Column, lowered: Column, field: str) -> Column:
+def _first(record: Column, entries: Column, field: str) -> Column:
+    """The first alias that holds something, by exact name, then apart from case (of keys alike the last)."""
     names = ALIASES[field]
     exact = [F.nullif(F.try_element_at(record, F.lit(n)), F.lit("")) for n in names]
-    folded = [F.nullif(F.try_element_at(lowered, F.lit(n)), F.lit("")) for n in names]
-    return F.coalesce(*exact, *folded)
 
+    def alike(name: str) -> Column:
+        return F.nullif(F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name), F.lit(-1))["value"], F.lit(""))
 
-def _announcement(title: Column, company: Column, code: Column, kind: Column, day: Column, url: Column, own_id: Column, files: Column) -> list[Column]:
-    return [
-        F.nullif(title, F.lit("")).alias("title"),
-        code.alias("stock_code"),
-        F.nullif(company, F.lit("")).alias("company_name"),
-        F.nullif(tx.strip_tags(kind), F.lit("")).alias("announcement_type"),
-        normalise_date(day).alias("announced_at"),
-        url.alias("url"),
-        F.coalesce(own_id, tx.announcement_id(url)).alias("bursa_id"),
-        files.alias("attachments"),
-    ]
+    return F.coalesce(*exact, *map(alike, names))
+
+
+RAW = ("title", "company", "code", "kind", "day", "url", "own_id", "files")
+
+
+def _announcements(rows: DataFrame, keep: list[str], company_shown, positional: bool) -> DataFrame:
+    """Announcements of rows with the raw fields `__<name>` of RAW. Costly parts are columns of their own, so that each
+    is worked out once a row."""
+    c = F.col
+    staged = rows.select(*keep, *(f"__{n}" for n in RAW), *(["__cells"] if positional else []), tx.links("__title").alias("__links"), shown_date("__day").alias("__shown"))
+    pages = F.filter("__links", lambda a: ~tx.is_pdf(a["href"]))
+    url = F.get(pages, F.lit(0))["href"] if positional else c("__url")
+    cells = [F.get("__cells", F.lit(i)) for i in range(4)] if positional else []
+    staged = staged.select("*", url.alias("__link"), company_shown.alias("__company_shown"), tx.headline("__title", c("__links")).alias("__headline"))
+    return staged.select(
+        *keep,
+        F.nullif("__headline", F.lit("")).alias("title"),
+        tx.stock_code("__code", "__company", *cells).alias("stock_code"),
+        F.nullif("__company_shown", F.lit("")).alias("company_name"),
+        F.nullif(tx.strip_tags("__kind"), F.lit("")).alias("announcement_type"),
+        date_in(c("__shown")).alias("announced_at"),
+        c("__link").alias("url"),
+        F.coalesce("__own_id", tx.announcement_id("__link")).alias("bursa_id"),
+        (tx.attachments("__title", c("__links")) if positional else _files(c("__files"), tx.attachments("__title", c("__links")))).alias("attachments"),
+    )
 
 
 _FILES = "array<struct<filename:string,url:string,name:string,href:string,link:string>>"
 
 
-def _files(value: Column, title_cell: Column) -> Column:
-    """The attachment list: objects, plain urls, or marked-up text; else the PDF links of the title cell."""
+def _files(value: Column, linked: Column) -> Column:
+    """The attachment list: objects, plain urls, or marked-up text; else those linked in the title."""
     objects = F.transform(F.filter(F.from_json(value, _FILES), lambda f: F.coalesce(f["url"], f["href"], f["link"]).isNotNull()), lambda f: F.struct(F.coalesce(f["filename"], f["name"], F.substring_index(F.coalesce(f["url"], f["href"], f["link"]), "/", -1)).alias("filename"), F.coalesce(f["url"], f["href"], f["link"]).alias("url")))
     urls = F.transform(F.from_json(value, "array<string>"), lambda u: F.struct(F.substring_index(u, "/", -1).alias("filename"), u.alias("url")))
     listed = F.when(value.startswith("[{"), objects).when(value.startswith("["), urls).otherwise(tx.attachments(value))
-    return F.when(F.size(listed) > 0, listed).otherwise(tx.attachments(title_cell))
+    return F.when(F.size(listed) > 0, listed).otherwise(linked)
 
 
 def from_objects(rows: DataFrame, body: str) -> DataFrame:
     """Announcements of JSON object rows (text in `body`); the other columns stay."""
-    record = F.from_json(F.col(body), "map<string,string>")
     keep = [c for c in rows.columns if c != body]
-    r = rows.select(*keep, record.alias("__r"))
-    low = F.map_from_entries(F.array_distinct(F.transform(F.map_entries("__r"), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))))
-    get = lambda f: _first(F.col("__r"), low, f)
-    title, company = get("title"), get("company_name")
+    records = rows.select(*keep, F.from_json(body, "map<string,string>").alias("__r")).select(*keep, "__r", F.map_entries("__r").alias("__l"))
+    get = lambda f: _first(F.col("__r"), F.col("__l"), f)
     files = F.coalesce(*(F.nullif(F.try_element_at("__r", F.lit(k)), F.lit("")) for k in ("attachments", "files", "documents")), F.lit(""))
-    return r.select(*keep, *_announcement(tx.headline(title), tx.strip_tags(company), tx.stock_code(get("stock_code"), company), get("announcement_type"), get("announced_at"), get("url"), get("bursa_id"), _files(files, title)))
+    fields = (get("title"), get("company_name"), get("stock_code"), get("announcement_type"), get("announced_at"), get("url"), get("bursa_id"), files)
+    raw = records.select(*keep, *(x.alias(f"__{n}") for n, x in zip(RAW, fields, strict=True)))
+    return _announcements(raw, keep, tx.strip_tags("__company"), positional=False)
 
 
 def from_cells(rows: DataFrame, cells: str) -> DataFrame:
     """Announcements of positional rows (number, date, company, title); short rows are padded with nulls."""
     keep = [c for c in rows.columns if c != cells]
     cell = [F.get(F.col(cells), F.lit(i)) for i in range(4)]
-    pages = F.filter(tx.links(cell[3]), lambda a: ~tx.is_pdf(a["href"]))
     none = F.lit(None).cast("string")
-    code = tx.stock_code(none, cell[2], *cell)
-    return rows.select(*keep, *_announcement(tx.headline(cell[3]), tx.headline(cell[2]), code, none, cell[1], F.get(pages, F.lit(0))["href"], none, tx.attachments(cell[3])))
+    fields = (cell[3], cell[2], none, none, cell[1], none, none, none)
+    raw = rows.select(*keep, *(x.alias(f"__{n}") for n, x in zip(RAW, fields, strict=True)), F.col(cells).alias("__cells"))
+    return _announcements(raw, keep, tx.headline("__company"), positional=True)
 
 
 def from_html(pages: DataFrame, key: str, html: str) -> DataFrame:

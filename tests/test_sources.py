@@ -33,6 +33,12 @@ def test_mixed_short_and_empty_rows(spark):
     assert sorted((r.page, r.row_no) for r in rows.collect()) == [(0, 0), (0, 1)]
 
 
+def test_keys_alike_but_for_case(spark):
+    odd = '[{"Title": "one", "TITLE": "two", "id": "", "ID": "5"}]'
+    got = listing.parse(payloads(spark, odd), "body").collect()
+    assert [(r.title, r.bursa_id) for r in got] == [("two", "5")]
+
+
 def test_unknown_shapes_are_errors_not_empty(spark):
     bad = payloads(spark, {"status": "ok", "payload": {"announcementList": []}}, "no json", "")
     got = {r.page: r.problem for r in listing.split_payload(bad, "body").collect()}
