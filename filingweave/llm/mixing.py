@@ -110,7 +110,8 @@ def mix(documents: DataFrame, targets: DataFrame, budget_tokens: int | None = No
     total = counted.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
-    cells = [(r["source"], r["shard"], r["n"], r["t"]) for r in dealt.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).toLocalIterator() if r["source"] in wanted]
+    named = spark.createDataFrame([(s,) for s in wanted], "source string")
+    cells = [(r["source"], r["shard"], r["n"], r["t"]) for r in dealt.join(named, "source", "left_semi").groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).toLocalIterator()]
     blocks = {(s, k): max(1, round(t / block_tokens)) if t else 0 for s, k, _, t in cells}
     have: dict[str, int] = {}
     tokens: dict[str, int] = {}
