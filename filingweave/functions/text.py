@@ -15,6 +15,7 @@ condensed consolidated full year half fy cy q1 q2 q3 q4 tanshin document service
 
 #: Titles of results filings.
 RESULTS = r"(?i)quarterly\s+r(?:e)?p(?:or)?t|\bconsolidated\s+results?\b|\bfinancial\s+results?\b|\binterim\s+(?:financial\s+)?report\b|\bcondensed\s+consolidated\b"
+#: What marks one of the tool's own reports (a fixed value).
 SELF_REPORT_MARKER = "Auto-generated from a GPT-5.4-mini extraction of entry #"
 
 
