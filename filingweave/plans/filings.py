@@ -113,13 +113,28 @@ _STORED = "(select id, any_value(revenue_qoq) as old_qoq, any_value(revenue_yoy)
 
 @query(f"select g.id, revenue_current_qoq as new_qoq, revenue_current_yoy as new_yoy from ({_REPORT_GROWTH}) g join {_STORED} s on g.id = s.id where revenue_current_qoq is distinct from old_qoq or revenue_current_yoy is distinct from old_yoy")
 def refreshed_comparisons(spark: SparkSession, d: str) -> DataFrame:
-    """Only rows whose stored comparison differs from the recomputed one."""
+    """Only rows whose stored revenue comparison differs from the recomputed one; `refreshed_ratios` has all four."""
     new = growth_by_company_quarter(spark, d)
     old = table(spark, d, "pdf_metadata").groupBy("id").agg(F.first("revenue_qoq").alias("old_qoq"), F.first("revenue_yoy").alias("old_yoy"))
     changed = ~F.col("revenue_current_qoq").eqNullSafe(F.col("old_qoq")) | ~F.col("revenue_current_yoy").eqNullSafe(F.col("old_yoy"))
     return new.join(old, "id").where(changed).select("id", F.col("revenue_current_qoq").alias("new_qoq"), F.col("revenue_current_yoy").alias("new_yoy"))
 
 
+_RATIOS = {f"{v}_{p}": f"{v}_current_{p}" for v in ("revenue", "pbt") for p in ("qoq", "yoy")}
+
+
+@query(f"""select g.id, {', '.join(f'{new} as {x}' for x, new in _RATIOS.items())} from ({_REPORT_GROWTH}) g join (select id, {', '.join(f'any_value({x}) as old_{x}' for x in _RATIOS)} from pdf_metadata group by id) s on g.id = s.id
+where {' or '.join(f'{new} is distinct from old_{x}' for x, new in _RATIOS.items())}""")
+def refreshed_ratios(spark: SparkSession, d: str) -> DataFrame:
+    """The four recomputed ratios of the rows where any of them differs from the stored one."""
+    new = growth_by_company_quarter(spark, d)
+    old = table(spark, d, "pdf_metadata").groupBy("id").agg(*(F.first(x, ignorenulls=True).alias(f"old_{x}") for x in _RATIOS))
+    changed = F.lit(False)
+    for x, to in _RATIOS.items():
+        changed = changed | ~F.col(to).eqNullSafe(F.col(f"old_{x}"))
+    return new.join(old, "id").where(changed).select("id", *(F.col(to).alias(x) for x, to in _RATIOS.items()))
+
+
 # --- text, dates, links ---------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingweave.operators import audit, evaluate, evidence, growth, ingest, validate, watchlist
+from filingweave.plans import filings
 
 
 def test_growth_equals_self_joins_and_skips_no_gap(spark):
@@ -149,3 +150,25 @@ def test_golden_growth(spark, case, now, before, year, qoq, yoy):
     from filingweave.functions.numeric import pct_change
 
     assert list(places(spark, pct_change("n", "b"), pct_change("n", "y"), n=now, b=before, y=year)) == [qoq, yoy]
+
+
+REPORT = """id long, title string, author string, uploaded_at timestamp, company_name string, quarter_end_date string, fiscal_quarter string, fiscal_year int, currency string, confidence_score double, analysis_error string,
+revenue_qoq double, revenue_yoy double, pbt_qoq double, pbt_yoy double, """ + ", ".join(f"{f} double" for f in audit.FIELDS)
+
+
+def reports(spark, folder, rows):
+    """A pdf_metadata table of rows given by name, the other columns null."""
+    names = [c.split()[0] for c in REPORT.replace("\n", " ").split(", ")]
+    spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], REPORT).write.parquet(f"{folder}/pdf_metadata.parquet")
+    return str(folder)
+
+
+def test_refreshed_ratios_sees_each_of_the_four(spark, tmp_path):
+    quarters = [(2023, "Q4", 100.0, 10.0), (2023, "Q3", 80.0, 8.0), (2022, "Q4", 50.0, 5.0)]
+    true = {"revenue_qoq": 25.0, "revenue_yoy": 100.0, "pbt_qoq": 25.0, "pbt_yoy": 100.0}
+    rows = []
+    for i, wrong in enumerate([None, *true]):
+        rows += [{"id": 10 * i + j, "company_name": f"c{i}", "fiscal_year": y, "fiscal_quarter": q, "revenue_current": r, "pbt_current": p} for j, (y, q, r, p) in enumerate(quarters)]
+        rows[-3] |= true | ({wrong: None if i % 2 else 7.0} if wrong else {})
+    got = {r.id: r.asDict() for r in filings.refreshed_ratios(spark, reports(spark, tmp_path, rows)).collect()}
+    assert got == {i: {"id": i, **true} for i in (10, 20, 30, 40)}
