@@ -435,11 +435,48 @@ case when revenue_current < 0 then 'revenue_current is negative (' || format('{{
 case when revenue_current > 0 and pbt_current > revenue_current then 'pbt_current (' || format('{{:.2f}}', pbt_current) || 'M) exceeds revenue_current (' || format('{{:.2f}}', revenue_current) || 'M) — unusual, though legitimate with one-off gains such as asset disposals or revaluations; confirm against the report' end,
 case when confidence_score < 0.7 then 'Low confidence score (' || format('{{:.0f}}', confidence_score * 100) || '%) — results should be reviewed manually' end], lambda w: w is not null) as warnings from {_V}""")
 def validation_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that need the current figures only; `report_warnings` applies all."""
     columns = ["fiscal_quarter", "fiscal_year", "quarter_end_date", "currency", "confidence_score", "revenue_current", "pbt_current"]
     rows = table(spark, d, "pdf_metadata").select("id", *columns).distinct()
     return rows.select("id", validate.warnings(2026, set(columns)).alias("warnings"))
 
 
+_CHECKED = ("fiscal_quarter", "fiscal_year", "quarter_end_date", "currency", "confidence_score", "company_name", "title", "author", *audit.FIELDS)
+_SQL_STOPWORDS = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
+
+
+def _sql_tokens(x: str) -> str:
+    return f"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^a-z0-9]+'), lambda w: length(w) > 1 and not regexp_full_match(w, '[0-9]+') and w not in ({_SQL_STOPWORDS}))"
+
+
+def _sql_money(x: str) -> str:
+    return f"format('{{:.2f}}', {x})"
+
+
+_NEGATIVE_SQL = ",\n".join(f"case when {r} < 0 then '{r} is negative (' || {_sql_money(r)} || 'M) — revenue cannot be negative' end" for r, _ in validate.PAIRS)
+_EXCEEDS_SQL = ",\n".join(
+    f"case when {r} > 0 and {p} > {r} then '{p} (' || {_sql_money(p)} || 'M) exceeds {r} (' || {_sql_money(r)} || 'M) — unusual, though legitimate with one-off gains such as asset disposals or revaluations; confirm against the report' end"
+    for r, p in validate.PAIRS
+)
+
+
+@query(f"""select id, list_filter([
+case when fiscal_quarter not in ('Q1', 'Q2', 'Q3', 'Q4') then 'fiscal_quarter ''' || fiscal_quarter || ''' is not one of Q1/Q2/Q3/Q4' end,
+case when fiscal_year not between 2000 and 2027 then 'fiscal_year ' || fiscal_year || ' is outside the expected range (2000–2027)' end,
+case when not regexp_full_match(quarter_end_date, '\\d{{4}}-\\d{{2}}-\\d{{2}}') then 'quarter_end_date ''' || quarter_end_date || ''' is not in YYYY-MM-DD format' when abs(cast(substr(quarter_end_date, 1, 4) as int) - fiscal_year) > 1 then 'quarter_end_date year (' || substr(quarter_end_date, 1, 4) || ') does not match fiscal_year (' || fiscal_year || ') — possible extraction error' end,
+case when not regexp_full_match(currency, '[A-Z]{{3}}') then 'currency ''' || currency || ''' is not a valid ISO 4217 code (expected 3 uppercase letters, e.g. USD)' end,
+{_NEGATIVE_SQL},
+{_EXCEEDS_SQL},
+case when confidence_score not between 0 and 1 then 'confidence_score ' || confidence_score || ' is outside the valid range [0, 1]' when confidence_score < 0.7 then 'Low confidence score (' || format('{{:.0f}}', confidence_score * 100) || '%) — results should be reviewed manually' end,
+case when coalesce({', '.join(audit.FIELDS)}) is null then 'No financial values were extracted — the PDF may not contain machine-readable financial tables' end,
+case when len({_sql_tokens('company_name')}) > 0 and len({_sql_tokens('meta')}) > 0 and not list_has_any({_sql_tokens('company_name')}, {_sql_tokens('meta')}) then 'Document metadata names a different entity than the report body (metadata: ''' || trim(meta) || ''', extracted: ''' || company_name || ''') — verify the file is the report it claims to be' end], lambda w: w is not null) as warnings
+from (select distinct id, {', '.join(_CHECKED)}, coalesce(title, '') || ' ' || coalesce(author, '') as meta from pdf_metadata)""")
+def report_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """All rules: six figures, three pairs of revenue and pbt, nothing extracted, and the entity of title and author."""
+    rows = table(spark, d, "pdf_metadata").select("id", *_CHECKED).distinct()
+    return rows.select("id", validate.warnings(2026, set(_CHECKED)).alias("warnings"))
+
+
 @query("select distinct id, list_filter(cast(cast(validation_warnings as json) as varchar[]), lambda w: regexp_matches(w, '^(?:Unit scale corrected:|Unit label |None of the extracted figures|This document appears to be a review report)|^\\d+ of \\d+ figures could not be traced')) || ['rechecked'] as warnings from pdf_metadata where validation_warnings is not null")
 def carried_warnings(spark: SparkSession, d: str) -> DataFrame:
     prior = F.from_json("validation_warnings", "array<string>")

@@ -172,3 +172,19 @@ def test_refreshed_ratios_sees_each_of_the_four(spark, tmp_path):
         rows[-3] |= true | ({wrong: None if i % 2 else 7.0} if wrong else {})
     got = {r.id: r.asDict() for r in filings.refreshed_ratios(spark, reports(spark, tmp_path, rows)).collect()}
     assert got == {i: {"id": i, **true} for i in (10, 20, 30, 40)}
+
+
+def test_report_warnings_applies_every_rule(spark, tmp_path):
+    told = dict.fromkeys(audit.FIELDS, 1.0) | {"company_name": "Acme Berhad", "title": "Acme results", "confidence_score": 0.9}
+    rows = [
+        told,
+        told | {"pbt_previous_quarter": 2.0},
+        told | {"pbt_same_quarter_last_year": 2.0},
+        told | {"revenue_previous_quarter": -1.0, "revenue_same_quarter_last_year": -1.0},
+        told | dict.fromkeys(audit.FIELDS),
+        told | {"title": "Zeta", "author": "Annual report"},
+    ]
+    got = {r.id: [w.split(" (")[0] for w in r.warnings] for r in filings.report_warnings(spark, reports(spark, tmp_path, [r | {"id": i} for i, r in enumerate(rows)])).collect()}
+    negative = ["revenue_previous_quarter is negative", "revenue_same_quarter_last_year is negative"]
+    assert [got[i] for i in range(4)] == [[], ["pbt_previous_quarter"], ["pbt_same_quarter_last_year"], negative]
+    assert got[4][0].startswith("No financial values") and got[5] == ["Document metadata names a different entity than the report body"]
