@@ -27,7 +27,8 @@ EDITS = 0.1
 NAMES_KEPT = 0.5
 BAND = 14
 #: A stretch of n >= LEAST_WORDS words with n / 10 edits keeps at least n - WINDOW + 1 - WINDOW * (n / 10) windows whole,
-#: and that is never less than this; fewer can't be a case.
+#: and that is never less than this; fewer can't be a case. A word of t tokens adds t to the windows and, if edited, takes
+#: t + WINDOW - 1 of them, so counted in tokens no fewer are left.
 LEAST_WINDOWS = min(n - WINDOW + 1 - WINDOW * int(EDITS * n) for n in range(LEAST_WORDS, 200))
 SHARD = 4_000
 
@@ -179,35 +180,30 @@ class Items:
 
 
 def align(words: list[str], doc: list[str], diagonal: int) -> tuple[list[bool], list[int]]:
-    """Edit alignment of an item with the text along a diagonal, BAND words to each side: for each item word whether
-    it is kept, and how many words are added behind it."""
-    n, width = len(words), 2 * BAND + 1
-    far = 1 << 20
-    cost = [[far] * width for _ in range(n + 1)]
+    """Edit alignment of an item with the text along a diagonal, a band that grows with the item to each side: for each
+    item word whether it is kept, and how many words are added behind it.
+
+    Before its first and behind its last word the text goes on with words that are like none, so a text that begins or
+    ends within the item is aligned as any other.
+    """
+    band = BAND + int(EDITS * len(words))
+    n, width, size = len(words), 2 * band + 1, len(doc)
+    cost = [[0] * width for _ in range(n + 1)]
     step = [[0] * width for _ in range(n + 1)]
-    for b in range(width):
-        if 0 <= diagonal + b - BAND <= len(doc):
-            cost[0][b] = 0
     for i in range(1, n + 1):
         above, row, steps, w = cost[i - 1], cost[i], step[i], words[i - 1]
-        base = i + diagonal - BAND
+        base = i + diagonal - band
         for b in range(width):
             j = base + b  # words of the text used
-            if j < 0 or j > len(doc):
-                continue
-            best, how = far, 0
-            if j > 0:
-                kept = doc[j - 1] == w
-                best, how = above[b] + (not kept), 1 if kept else 2
+            kept = 0 < j <= size and doc[j - 1] == w
+            best, how = above[b] + (not kept), 1 if kept else 2
             if b + 1 < width and above[b + 1] + 1 < best:
                 best, how = above[b + 1] + 1, 3
-            if b > 0 and j > 0 and row[b - 1] + 1 < best:
+            if b > 0 and row[b - 1] + 1 < best:
                 best, how = row[b - 1] + 1, 4
             row[b], steps[b] = best, how
     status, extra = [False] * n, [0] * n
     b = min(range(width), key=lambda x: cost[n][x])
-    if cost[n][b] >= far:
-        return status, extra
     i = n
     while i > 0:
         how = step[i][b]
@@ -218,11 +214,9 @@ def align(words: list[str], doc: list[str], diagonal: int) -> tuple[list[bool],
             i -= 1
         elif how == 3:
             i, b = i - 1, b + 1
-        elif how == 4:
+        else:
             extra[i - 1] += 1
             b -= 1
-        else:
-            break
     return status, extra
 
 

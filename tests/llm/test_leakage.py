@@ -21,6 +21,20 @@ def test_whole_and_part_in_disguise():
     assert carried("x y z " + " ".join(WORDS[5:28]) + " tail words") == {}
 
 
+def test_edges_of_the_text():
+    for a, b in ((20, len(WORDS)), (0, 26), (9, 34), (0, len(WORDS))):
+        part, tail = " ".join(WORDS[a:b]), " ".join(f"x{chr(97 + i)}" for i in range(20))
+        for text in (part, f"{tail} {part}", f"{part} {tail}", f"{tail} {part} {tail}"):
+            assert carried(text) == {1: b - a}
+
+
+def test_long_items():
+    rng = random.Random(5)
+    item = ["w" + "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400)]
+    doc = [w for i, x in enumerate(item) for w in ([x, "new"] if i % 11 == 5 else [x])]
+    assert carried(" ".join(doc), ((1, " ".join(item)),)) == {1: 400}
+
+
 def test_edits():
     lost = [w for i, w in enumerate(WORDS) if i not in (6, 28)]
     assert carried(" ".join(lost))[1] >= 40
