@@ -10,7 +10,7 @@ WORDS = ITEM.split()
 
 
 def carried(text, items=((1, ITEM),)):
-    return {hit[0]: hit[1] for hit in lk.Items(list(items)).search(text) if hit[3] == "verbatim"}
+    return {hit[0]: hit[1] for hit in lk.search(text, items) if hit[3] == "verbatim"}
 
 
 def test_whole_and_part_in_disguise():
@@ -48,7 +48,7 @@ def test_other_figures_and_names_are_no_case():
     assert carried(ITEM.replace("19.8", "21.4").replace("194", "77").replace("3.17", "9.9")) == {}
     other = ITEM.replace("Darsat", "Pinra").replace("Rammongpinra", "Wirketbarlot").replace("194", "195").replace("RM3.17", "RM3.18").replace("19.8%", "1.1%").replace("2027", "2020").replace("31,500", "2")
     assert carried(other) == {}
-    assert [k[3] for k in lk.Items([(1, ITEM)]).search(other)] == ["reparameterised"]
+    assert [k[3] for k in lk.search(other, [(1, ITEM)])] == ["reparameterised"]
 
 
 def brute(item, doc):
@@ -82,10 +82,56 @@ def test_against_brute_force():
         assert (got >= lk.LEAST_WORDS) == (want >= lk.LEAST_WORDS)
 
 
+def test_added_words_not_their_parts_count():
+    words = WORDS[:26]
+    for new in ("co-operative", "holder's"):
+        put_in = [x for i, w in enumerate(words) for x in ([w, new] if i in (5, 15) else [w])]
+        replaced = [new if i in (5, 15) else w for i, w in enumerate(words)]
+        assert carried(" ".join(put_in)) == {1: 26} and carried(" ".join(replaced)) == {1: 26}
+
+
+def test_dense_keeps_every_stretch_of_a_case():
+    rng = random.Random(2)
+    for _ in range(200):
+        hits = lk.np.array(sorted(rng.sample(range(600), rng.randint(0, 60))))
+        found = lk.dense(hits, 40)
+        for i in range(len(hits) - lk.LEAST_WINDOWS + 1):
+            if hits[i + lk.LEAST_WINDOWS - 1] - hits[i] <= 40:
+                assert any(a <= hits[i] and hits[i + lk.LEAST_WINDOWS - 1] <= b for a, b in found)
+
+
+def found(spark, docs, items, **how):
+    rows = lk.leaks(spark.createDataFrame(docs, "doc_id long, text string, words int"), spark.createDataFrame(items, "item_id long, item_text string, kind string"), **how).collect()
+    return {(r.doc_id, r.item_id): (r.words, r.kind) for r in rows}
+
+
 def test_frames(spark):
-    docs = spark.createDataFrame([(1, ITEM, 9), (2, None, 9), (3, "", 9), (4, "word " * 50_000 + ITEM, 9), (1, ITEM, 9)], "doc_id long, text string, words int")
-    items = spark.createDataFrame([(1, ITEM, "x"), (2, None, "x"), (3, "short one", "x"), (4, ITEM, "x"), (1, ITEM, "x")], "item_id long, item_text string, kind string")
-    for shard in (1, 100):
-        got = {(r.doc_id, r.item_id) for r in lk.leaks(docs, items, shard).where("kind = 'verbatim'").collect()}
-        assert got == {(1, 1), (1, 4), (4, 1), (4, 4)}
-    assert lk.leaks(docs, items.limit(0)).count() == 0 and lk.leaks(docs.limit(0), items).count() == 0
+    docs = [(1, ITEM, 9), (2, None, 9), (3, "", 9), (4, "word " * 50_000 + ITEM, 9), (1, ITEM, 9), (5, ITEM, 9)]
+    items = [(1, ITEM, "x"), (2, None, "x"), (3, "short one", "x"), (4, ITEM, "x"), (1, ITEM, "x")]
+    for few in (0, 100_000):
+        got = found(spark, docs, items, broadcast_windows=few)
+        assert got == {(d, i): (len(WORDS), "verbatim") for d in (1, 4, 5) for i in (1, 4)}
+    assert found(spark, docs, []) == {} and found(spark, [], items) == {}
+    assert found(spark, docs, [(7, "too short", "x")]) == {}
+
+
+def test_against_search(spark):
+    """The distributed search finds what comparing every text with every item does."""
+    rng = random.Random(11)
+    names = ["Darsat", "Kenjo", "Rarmot", "Wilkek", "Lirtat", "Musrih"]
+    frames = [
+        "In Q{a} FY20{b}, {n} Timber booked RM{b}.{a} million of steel pipes sales at {m}, against US${c} million for Q{a} FY2026, because stronger export orders moved margins sharply up by {a}.{c}% while {b} hectares stood idle near {n}.",
+        "Tender {b} let {n} Foods ship {c} tonnes of palm kernel oil from {m} to {n} for RM{a}.{b} million, yet labour shortages pushed goodwill down {c}.0% before Q{a} 2022 and idled {b} lines of the second {m} unit.",
+    ]
+    fill = lambda f: f.format(a=rng.randint(1, 9), b=rng.randint(10, 99), c=rng.randint(100, 999), n=rng.choice(names), m=rng.choice(names))
+    items = [(i, fill(rng.choice(frames)) + " " + fill(rng.choice(frames))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        words = (rng.choice(items)[1] if d % 3 else fill(frames[d % 2])).split()
+        a, b = sorted(rng.sample(range(len(words) + 1), 2)) if d % 4 else (0, len(words))
+        part = [w if rng.random() > 0.04 else "changed" for w in words[a:b]]
+        docs.append((d, " ".join(["filler text of the day"] * (d % 5) + part + ["and so on"] * (d % 2))))
+    want = {(d, i): (n, kind) for d, text in docs for i, n, _, kind in lk.search(text, items)}
+    assert {k for _, k in want.values()} == {"verbatim", "reparameterised", "partial"}
+    for few in (0, 100_000):
+        assert found(spark, [(*d, 0) for d in docs], [(*i, "") for i in items], broadcast_windows=few) == want
