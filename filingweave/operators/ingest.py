@@ -10,9 +10,16 @@ MIN_BYTES = 1_000
 MAX_BYTES = 40 * 1024 * 1024
 
 
-def unseen(batch: DataFrame, held: DataFrame, key: str) -> DataFrame:
-    """Rows of a batch whose key isn't held, the first of each key."""
-    return batch.join(held.select(key).distinct(), key, "left_anti").dropDuplicates([key])
+def firsts(rows: DataFrame, key: str, order: str = "id") -> DataFrame:
+    """The first row of each key by `order` (nulls last), ties by the other columns; rows with a null key are one key."""
+    whole = F.struct(F.col(order).isNull().alias("__none"), F.col(order).alias("__at"), *(F.col(f"`{c}`") for c in rows.columns))
+    first = rows.groupBy(F.col(key).alias("__key")).agg(F.min(whole).alias("__first"))
+    return first.select(*(F.col(f"__first.`{c}`").alias(c) for c in rows.columns))
+
+
+def unseen(batch: DataFrame, held: DataFrame, key: str, order: str = "id") -> DataFrame:
+    """Rows of a batch whose key isn't held, of each key the first by `order`."""
+    return firsts(batch.join(held.select(key).distinct(), key, "left_anti"), key, order)
 
 
 def ingested_scope(files: DataFrame, approved: DataFrame, pending: DataFrame) -> DataFrame:

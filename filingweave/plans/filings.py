@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from filingweave.functions import answers, dates, numeric, urls
 from filingweave.functions import text as tx
 from filingweave.operators import audit, evaluate, evidence, growth, ingest, requests, validate, watchlist
-from filingweave.session import shared_folder
+from filingweave.session import cut, shared_folder
 from filingweave.sources import listing
+from filingweave.sources.folders import Folder
 from filingweave.sources.store import Store
 from filingweave.sources.tables import table
 from filingweave.streaming import poll
@@ -320,13 +321,15 @@ def poll_counters(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stream_poll_idempotent(spark: SparkSession, d: str) -> DataFrame:
     """The announcements through a run-once stream, twice: the second run finds nothing new."""
-    folder = tempfile.mkdtemp(prefix="poll-", dir=shared_folder(spark).removeprefix("file://")) if shared_folder(spark).startswith(("file://", "/")) else tempfile.mkdtemp()
+    folder = f"{shared_folder(spark).rstrip('/')}/poll-{uuid.uuid4().hex}"
     store = Store(spark, f"{folder}/store")
     source = table(spark, d, "announcements")
     for _ in range(2):
         stream = spark.readStream.schema(source.schema).parquet(f"{d}/announcements.parquet*")
         poll.run_once(stream.select("id", "dedup_key", "title", "announced_at"), store, "announcements", "dedup_key", f"{folder}/checkpoint")
-    return store.read("announcements").groupBy().agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("dedup_key").alias("n_keys"))
+    counted = cut(store.read("announcements").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("dedup_key").alias("n_keys")))
+    Folder(spark, folder).remove()
+    return counted
 
 
 # --- figures and evidence -------------------------------------------------------------------------------------------

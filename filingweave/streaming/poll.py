@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingweave.operators.ingest import unseen
+from filingweave.operators.ingest import firsts, unseen
 from filingweave.sources.store import Store
 
 
@@ -19,9 +19,9 @@ def poll_summary(parsed: DataFrame, is_results: str, is_listed: str, is_new: str
     )
 
 
-def accept_batch(store: Store, table: str, key: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function: appends the rows whose key isn't held. A batch replayed after a crash is a no-op,
-    because its number is committed together with its rows."""
+def accept_batch(store: Store, table: str, key: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, order: str = "id") -> Callable[[DataFrame, int], None]:
+    """A `foreachBatch` function: appends the rows whose key isn't held, of each key the first by `order`. A batch
+    replayed after a crash is a no-op, because its number is committed together with its rows; small deltas are merged."""
 
     def accept(batch: DataFrame, number: int) -> None:
         state = store.manifest()
@@ -29,13 +29,14 @@ def accept_batch(store: Store, table: str, key: str, prepare: Callable[[DataFram
             return
         rows = prepare(batch)
         held = store.read(table)
-        fresh = rows.dropDuplicates([key]) if held is None else unseen(rows, held, key)
+        fresh = firsts(rows, key, order) if held is None else unseen(rows, held, key, order)
         store.commit(appended={table: fresh}, marks={table: number}, expected=state["commit"])
+        store.compact(table)
 
     return accept
 
 
-def run_once(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+def run_once(stream: DataFrame, store: Store, table: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] = lambda rows: rows, order: str = "id") -> None:
     """Process what has arrived since the last run, then stop."""
-    query = stream.writeStream.foreachBatch(accept_batch(store, table, key, prepare)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(accept_batch(store, table, key, prepare, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingweave.functions import answers
-from filingweave.operators import requests
+from filingweave.operators import ingest, requests
 from filingweave.sources import files, html, listing
+from filingweave.sources.folders import Commits, Folder
 from filingweave.sources.store import CommitConflict, Store
 from filingweave.streaming import poll
 
@@ -121,3 +122,33 @@ def test_request_plan(spark):
     rows = spark.createDataFrame([(i, f"https://h{i % 3}.org/{i}") for i in range(12)] + [(1, "ftp://x/y"), (2, None), (99, "https://h0.org/0")], "n int, u string")
     got = requests.plan(rows, "u", "n", per_run=5, per_host=2, hosts=2, delay=0.1).orderBy("place").collect()
     assert [(r.url[-1], r.at_host, r.earliest_s) for r in got] == [("0", 1, 0.0), ("1", 1, 0.0), ("3", 2, 2.0), ("4", 2, 2.0)]
+
+
+def test_commits_claims_and_compaction(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id long, dedup_key string")
+    for i in range(4):
+        store.commit(appended={"t": rows(i)}, marks={"t": i})
+    assert not store.compact("t", 4) and store.compact("t", 3)
+    assert sorted(r.id for r in store.read("t").collect()) == [0, 1, 2, 3] and len(store.manifest()["tables"]["t"]) == 1
+    assert store.vacuum() == 4 and store.read("t").count() == 4 and store.vacuum() == 0
+    with pytest.raises(CommitConflict):
+        store.commit(appended={"t": rows(9)}, expected=2)
+    assert store.read("t").count() == 4
+
+    commits = Commits(Folder(spark, f"file://{tmp_path}/c"), {"runs": []})
+    assert commits.current() == {"commit": 0, "runs": []}
+    assert commits.folder.claim("commit-000000001.claim")
+    with pytest.raises(CommitConflict):  # another is at work on version 1
+        commits.put({"runs": [1]}, 0)
+    commits.folder.remove("commit-000000001.claim")
+    for n in range(4):
+        commits.put({"runs": [n]}, n)
+    assert commits.current() == {"commit": 4, "runs": [3]} and commits.folder.names() == ["commit-000000003.json", "commit-000000004.json"]
+
+
+def test_first_of_each_key(spark):
+    rows = spark.createDataFrame([(3, "a", "x"), (1, "a", "z"), (1, "a", "y"), (2, None, "n"), (None, "b", "b"), (9, None, "m")], "id long, dedup_key string, t string")
+    assert {tuple(r) for r in ingest.firsts(rows, "dedup_key").collect()} == {(1, "a", "y"), (2, None, "n"), (None, "b", "b")}
+    held = spark.createDataFrame([("b",), ("b",)], "dedup_key string")
+    assert {r.id for r in ingest.unseen(rows, held, "dedup_key").collect()} == {1, 2}
