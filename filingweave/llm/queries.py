@@ -17,17 +17,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return names.link(typed, table(spark, d, "watchlist"), table(spark, d, "companies")).select("row_id", "stock_code")
 
 
+def _runs_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return history.link_all(table(spark, d, "announcements"), table(spark, d, "companies"))
+    return history.repeats_by_batch(spark, table(spark, d, "announcements"), table(spark, d, "companies"), _runs_folder(spark))
 
 
 def p5_last_batch(spark: SparkSession, d: str) -> DataFrame:
     """The repeats in the last batch, found by merging it into the persisted runs of all batches before."""
     rows, companies = table(spark, d, "announcements"), table(spark, d, "companies")
     last = rows.agg(F.max("batch_no")).first()[0]
-    runs = history.Runs(spark, f"{shared_folder(spark).rstrip('/')}/runs-{uuid.uuid4().hex}")
+    runs = history.Runs(spark, _runs_folder(spark))
     runs.add(rows.where(F.col("batch_no") < last), companies)
-    return runs.add(rows.where(F.col("batch_no") == last), companies)
+    found = runs.add(rows.where(F.col("batch_no") == last), companies)
+    runs.folder.remove()
+    return found
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
