@@ -2,10 +2,11 @@
 
 1. *Stated units*: `read_unit` reads a unit from a label; `stated_in` finds the unit that a text says its figures
    are presented in. The label prevails, the texts come next.
-2. *Changepoints*: the history of each source and field is cut by an exact search for the segmentation with the
-   least weighted squared error of log10 values plus a penalty per segment (optimal partitioning with pruning).
-   A shift of level between segments that matches a known factor marks a change of unit; a segment without a
-   stated unit takes its own from the nearest stated one, reversing the shift.
+2. *Changepoints*: the history of each source, field and currency is cut by an exact search for the segmentation with
+   the least weighted squared error of log10 values plus a penalty per segment (optimal partitioning with pruning).
+   A shift of level between segments that matches a known factor marks a change of unit. A segment without a stated unit
+   takes the one that best brings it to the level of the source: that of its stated segments once converted, with the
+   currency's level counting as `PRIOR` of its figures, and units weighed by how often the currency is stated in them.
 3. *Conversion*: figure times unit, as whole units of the figure's own currency. `basis` tells where the unit comes
    from: `label`, `text`, `label_history` (a label that names a unit we can't read, scaled by its segment) or
    `history` (no unit stated at all, scaled by its segment).
@@ -20,13 +21,11 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from decimal import ROUND_HALF_EVEN, Decimal
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingweave.session import cut
@@ -34,8 +33,10 @@ from filingweave.session import cut
 PENALTY = 0.5
 TOLERANCE = 0.75
 SALTS = 8
+PRIOR = 2.0
+SPREAD = 0.8  # decades that the converted figures of a source spread over
 KNOWN_SHIFTS = (2, 3, 4, 5, 6, 7, 8, 9, 12)
-KNOWN_UNITS = {-2, 0, 3, 4, 5, 6, 7, 8, 9, 12}
+KNOWN_UNITS = (-2, 0, 3, 4, 5, 6, 7, 8, 9, 12)
 
 # Number words of unit labels and their powers of ten.
 POWERS = {
@@ -187,33 +188,38 @@ def snap(shift: float, tolerance: float = TOLERANCE) -> int | None:
     return int(math.copysign(near, shift)) if abs(abs(shift) - near) <= tolerance else None
 
 
-POINT_KEY = ["source", "field_name", "period", "stated"]
-SEGMENTED = "source string, field_name string, period long, stated int, segment int, level double, unit_change int, implied int"
+POINT_KEY = ["source", "field_name", "currency", "period", "stated"]
+SEGMENTED = "source string, field_name string, currency string, period long, stated int, segment int, level double, unit_change int, implied int"
 
 
 Point = tuple[int | None, int | None, int, float]
 
 
-def place_points(points: list[Point], penalty: float = PENALTY) -> list[tuple]:
+def likeliest(level: float, home: float, stated: dict[int, int], told: dict[int, int]) -> int:
+    """The unit (power of ten) that best brings printed figures of a level to a converted one; stated: how often the
+    currency's figures are stated in each, told: how often those of the segment are."""
+    total = sum(stated.values()) + 0.5 * len(KNOWN_UNITS)
+    often = lambda u: PRIOR * (stated.get(u, 0) + 0.5) / total + told.get(u, 0)
+    fit = lambda u: math.log(often(u)) - ((home - level - u) / SPREAD) ** 2 / 2
+    return max(KNOWN_UNITS, key=lambda u: (fit(u), -abs(u)))
+
+
+def place_points(points: list[Point], penalty: float = PENALTY, usual: float | None = None, stated_in_all: dict[int, int] | None = None) -> list[tuple]:
     """The points of one history (period, stated unit, n, sum of logs; in order) with segment, level, unit_change at a
-    segment's first point, and the unit its segment implies."""
+    segment's first point, and the unit its segment implies. usual: the level of the currency's converted figures."""
     n = np.array([p[2] for p in points], dtype=float)
     values = np.array([p[3] for p in points]) / n
     number = segments(values, n, penalty)
     count = int(number[-1]) + 1
-    level = (np.bincount(number, values * n, count) / np.bincount(number, n, count)).tolist()
+    weights = np.bincount(number, n, count)
+    level = (np.bincount(number, values * n, count) / weights).tolist()
     told: list[Counter] = [Counter() for _ in range(count)]
-    for k, (_, stated, weight, _) in zip(number, points, strict=True):
+    home, weight = (usual or 0.0) * PRIOR, PRIOR if usual is not None else 0.0
+    for k, value, (_, stated, size, _) in zip(number, values.tolist(), points, strict=True):
         if stated is not None:
-            told[k][stated] += weight
-    unit = [min(c, key=lambda u: (-c[u], u)) if c else None for c in told]
-    known = [k for k in range(count) if unit[k] is not None]
-    implied = list(unit)
-    for k in range(count) if known else ():
-        if unit[k] is None:
-            anchor = min(known, key=lambda a: (abs(a - k), a))
-            shift = snap(level[k] - level[anchor])
-            implied[k] = unit[anchor] - shift if shift is not None and unit[anchor] - shift in KNOWN_UNITS else None
+            told[k][stated] += size
+            home, weight = home + size * (value + stated), weight + size
+    implied = [likeliest(level[k], home / weight, stated_in_all or {}, told[k]) if weight else None for k in range(count)]
     out, last = [], -1
     for k, (period, stated, _, _) in zip(number.tolist(), points, strict=True):
         change = snap(level[k] - level[k - 1]) if k != last and k else None
@@ -222,7 +228,7 @@ def place_points(points: list[Point], penalty: float = PENALTY) -> list[tuple]:
     return out
 
 
-READ = "id long, source string, period long, field_name string, figure double, stated int, basis string"
+READ = "id long, source string, currency string, period long, field_name string, figure double, stated int, basis string"
 
 
 def read_rows(reports: DataFrame) -> DataFrame:
@@ -231,7 +237,7 @@ def read_rows(reports: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for number, source, period, label, title, first, second, revenue, pbt in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+            for number, source, currency, period, label, title, first, second, revenue, pbt in zip(*(batch.column(i).to_pylist() for i in range(10)), strict=True):
                 labels, text, read = field_labels(label), None, False
                 for field, figure in (("revenue", revenue), ("pbt", pbt)):
                     if figure is None or not math.isfinite(figure):
@@ -242,15 +248,17 @@ def read_rows(reports: DataFrame) -> DataFrame:
                             text, read = next((p for p in map(stated_in, (title, first, second)) if p is not None), None), True
                         stated = text
                         basis = "text" if text is not None else "history" if NOTHING.match(labels[field] or "") else "label_history"
-                    rows.append((number, source, period, f"{field}_current", figure, stated, basis))
+                    rows.append((number, source, currency, period, f"{field}_current", figure, stated, basis))
             if rows:
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string())
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in READ.split(", ")])
 
     quarter = F.regexp_extract(F.coalesce("fiscal_quarter", F.lit("")), "([1-4])", 1).try_cast("long")
+    currency = F.upper(F.trim(F.coalesce(F.col("currency").cast("string") if "currency" in reports.columns else F.lit(""), F.lit(""))))
     return reports.select(
         F.col("id").cast("long").alias("id"),
         F.regexp_replace(F.upper(F.coalesce("company_name", F.lit(""))), "[^\\p{L}\\p{N}]+", " ").alias("source"),
+        F.when(currency == "RM", "MYR").otherwise(currency).alias("currency"),
         (F.col("fiscal_year").cast("long") * 4 + F.coalesce(quarter, F.lit(1)) - 1).alias("period"),
         "unit_raw",
         "title",
@@ -261,6 +269,13 @@ def read_rows(reports: DataFrame) -> DataFrame:
     ).mapInArrow(scan, READ)
 
 
+def stated_levels(read: DataFrame) -> DataFrame:
+    """field_name, currency, usual (mean log10 of the converted figures whose unit is stated), units, counts: how often
+    each unit is stated. One row per field and currency."""
+    each = read.where("figure <> 0 and stated is not null").groupBy("field_name", "currency", "stated").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log10(F.abs("figure")) + F.col("stated")).alias("logs"))
+    return each.groupBy("field_name", "currency").agg((F.sum("logs") / F.sum("n")).alias("usual"), F.map_from_entries(F.collect_list(F.struct("stated", "n"))).alias("units"))
+
+
 def segmented_histories(read: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """The points of each source's history (one per period and stated unit) with their segments.
 
@@ -269,51 +284,48 @@ def segmented_histories(read: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, points, out = None, [], []
+        at, points, level, out = None, [], (None, None), []
         for batch in batches:
-            for source, field, *point in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if (source, field) != at:
-                    out += [(*at, *p) for p in place_points(points, penalty)] if points else []
-                    at, points = (source, field), []
+            for source, field, currency, *point, usual, units in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
+                if (source, field, currency) != at:
+                    out += [(*at, *p) for p in place_points(points, penalty, *level)] if points else []
+                    at, points, level = (source, field, currency), [], (usual, dict(units or ()))
                 points.append(tuple(point))
             yield from _arrow(out)
             out = []
         if points:
-            yield from _arrow([(*at, *p) for p in place_points(points, penalty)])
+            yield from _arrow([(*at, *p) for p in place_points(points, penalty, *level)])
 
+    points = read.where("figure <> 0").groupBy(*POINT_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(F.log10(F.abs("figure"))).alias("log_sum"))
     return (
-        read.where("figure <> 0")
-        .groupBy(*POINT_KEY)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.log10(F.abs("figure"))).alias("log_sum"))
-        .select(*POINT_KEY, "n", "log_sum")
-        .repartition("source", "field_name")
-        .sortWithinPartitions("source", "field_name", F.asc_nulls_first("period"), F.asc_nulls_last("stated"))
+        points.join(stated_levels(read), ["field_name", "currency"], "left")
+        .select(*POINT_KEY, "n", "log_sum", "usual", "units")
+        .repartition("source", "field_name", "currency")
+        .sortWithinPartitions("source", "field_name", "currency", F.asc_nulls_first("period"), F.asc_nulls_last("stated"))
         .mapInArrow(scan, SEGMENTED)
     )
 
 
 def _arrow(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
     if rows:
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SEGMENTED.split(", ")])
 
 
-def _whole(figure: pd.Series, power: pd.Series) -> pd.Series:
-    out = []
-    for x, p in zip(figure, power, strict=True):
-        if p is None or p is pd.NA or (isinstance(p, float) and math.isnan(p)):
-            out.append(None)
-            continue
-        amount = int((Decimal(repr(float(x))) * Decimal(10) ** int(p)).to_integral_value(ROUND_HALF_EVEN))
-        out.append(amount if abs(amount) < 2**63 else None)
-    return pd.Series(out, dtype="Int64")
+def whole_units(figure: Column, power: Column) -> Column:
+    """figure * 10^power as an integer, halves to even; null without a power and beyond 63 bits. Figures count to 11
+    decimals, from 10^12 on to 5, which is as far as a double's digits go there."""
+    factor = F.when(power >= 0, F.pow(F.lit(10.0), power)).otherwise(1).cast("decimal(13,0)")
+    cents = F.when(power < 0, F.pow(F.lit(10.0), -power)).otherwise(1).cast("decimal(3,0)")
+    whole = lambda kind: F.bround(F.try_multiply(figure.try_cast(kind), factor) / cents).try_cast("long")
+    return F.when(power.isNull(), None).when(F.abs(figure) < 1e12, whole("decimal(25,12)")).otherwise(whole("decimal(25,5)"))
 
 
 def convert(reports: DataFrame, penalty: float = PENALTY, salts: int = SALTS) -> DataFrame:
     """Every figure with its unit and amount: id, field_name, figure, power, basis, segment, implied, amount.
 
     Needs id, company_name, fiscal_year, fiscal_quarter, unit_raw, title, management_commentary, outlook_summary,
-    revenue_current, pbt_current. Defined cases: null, NaN and infinite figures give no row; zero figures are no
+    revenue_current, pbt_current, and currency if it is there. Defined cases: null, NaN and infinite figures give no row; zero figures are no
     point of a history (their segment is null); repeated rows give one row; a source without a name is the source
     ''; a null year is a period of its own, ordered first; a figure without any unit has amount null, as has one
     beyond 63 bits.
@@ -325,11 +337,22 @@ def convert(reports: DataFrame, penalty: float = PENALTY, salts: int = SALTS) ->
     same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in POINT_KEY]
     joined = rows.join(salted.withColumnRenamed("salt", "p_salt"), [*same, F.col("salt") == F.col("p_salt"), F.col("figure") != 0], "left")
     power = F.coalesce("stated", "implied")
-    whole = F.pandas_udf(_whole, "long")
-    return joined.select("id", "field_name", "figure", power.alias("power"), "basis", "segment", "implied", whole("figure", power).alias("amount"))
+    return joined.select("id", "field_name", "figure", power.alias("power"), "basis", "segment", "implied", whole_units(F.col("figure"), power).alias("amount"))
 
 
 def unit_changes(reports: DataFrame, penalty: float = PENALTY) -> DataFrame:
     """The level shifts of each history that match a known factor: where a unit changed, and by what."""
     places = segmented_histories(read_rows(reports).distinct(), penalty)
-    return places.where("unit_change <> 0").select("source", "field_name", "period", "segment", F.round("level", 6).alias("level"), "unit_change", "stated", "implied")
+    return places.where("unit_change <> 0").select("source", "field_name", "currency", "period", "segment", F.round("level", 6).alias("level"), "unit_change", "stated", "implied")
+
+
+def held_out(reports: DataFrame, share: int = 5, penalty: float = PENALTY) -> DataFrame:
+    """How well the segments imply a unit where none is stated: the stated units of every `share`-th row (by a hash of
+    its id) are hidden, and what the segments then imply is compared with them. One row per field: hidden, implied, right."""
+    read = cut(read_rows(reports).distinct())
+    hidden = (F.pmod(F.xxhash64("id", F.lit(share)), F.lit(share)) == 0) & F.col("stated").isNotNull()
+    shown = cut(read.withColumn("truth", F.when(hidden, F.col("stated"))).withColumn("stated", F.when(~hidden, F.col("stated"))))
+    places = segmented_histories(shown.drop("truth"), penalty).withColumnsRenamed({c: f"p_{c}" for c in POINT_KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in POINT_KEY]
+    judged = shown.where("truth is not null and figure <> 0").join(places, same, "left")
+    return judged.groupBy("field_name").agg(F.count(F.lit(1)).alias("hidden"), F.count("implied").alias("implied"), F.count_if(F.col("implied") == F.col("truth")).alias("right"))

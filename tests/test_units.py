@@ -1,7 +1,11 @@
+import random
+from decimal import ROUND_HALF_EVEN, Decimal
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from filingweave.operators import units as u
 
@@ -94,3 +98,33 @@ def test_empty_and_unit_changes(spark):
     rows = [(i, "A", 2020 + i // 4, f"Q{i % 4 + 1}", "RM" if i < 6 else "RM'000", None, None, None, (1e6 if i < 6 else 1e3) * (1 + i / 50), None) for i in range(12)]
     changes = u.unit_changes(reports(spark, rows)).collect()
     assert [(c.period, c.unit_change) for c in changes] == [(2021 * 4 + 2, -3)]
+
+
+def test_whole_units_are_exact(spark):
+    rng = random.Random(6)
+    figures = [0.0, 0.5, 1.5, 2.5, -0.5, 1e300, 9.3e18, 123.45, -16.28, 4.35, 1.005, 182.98] + [round(rng.uniform(-1, 1) * 10 ** rng.randint(0, 14), rng.randint(0, 4)) for _ in range(400)]
+    rows = [(i, f, p) for i, f in enumerate(figures) for p in (-2, 0, 3, 4, 5, 6, 7, 8, 9, 12)] + [(-1, 5.0, None)]
+    frame = spark.createDataFrame(rows, "id long, figure double, power int")
+    got = {(r.id, r.power): r.amount for r in frame.select("id", "power", u.whole_units(F.col("figure"), F.col("power")).alias("amount")).collect()}
+    for i, figure, power in rows:
+        want = None if power is None else int((Decimal(repr(figure)) * Decimal(10) ** power).to_integral_value(ROUND_HALF_EVEN))
+        assert got[i, power] == (want if want is not None and abs(want) < 2**63 else None), (figure, power)
+
+
+def test_planted_unit_changes_are_found_and_reversed(spark):
+    """Steady sources that change their unit now and then: the changes are told, and hidden units are implied."""
+    rng = random.Random(8)
+    names = {0: "RM", 3: "RM'000", 6: "RM million"}
+    rows, planted = [], set()
+    for s in range(30):
+        unit, level = rng.choice([0, 3, 6]), rng.uniform(7, 8)
+        for q in range(40):
+            if q and rng.random() < 0.1:
+                new = rng.choice([x for x in names if x != unit])
+                planted.add((f"S{s}", 2010 * 4 + q, unit - new))
+                unit = new
+            rows.append((s * 100 + q, f"S{s}", 2010 + q // 4, f"Q{q % 4 + 1}", names[unit], None, None, None, 10 ** (level - unit + rng.gauss(0, 0.05)), None))
+    found = {(r.source, r.period, r.unit_change) for r in u.unit_changes(reports(spark, rows)).collect()}
+    assert found == planted
+    told = u.held_out(reports(spark, rows)).collect()
+    assert len(told) == 1 and told[0].hidden > 200 and told[0].right >= 0.99 * told[0].hidden
