@@ -5,7 +5,7 @@
    shuffle carries headers, not records.
 2. *Fold*: the files of a feed are folded in order through the type lattice (below). A feed may hold a third of
    all files, so files are folded in blocks of `BLOCK`: each block is first reduced to a summary (a monoid:
-   last layout, with types still open where no record of the block told one), the summaries of a feed are
+   last layout, with types still open where no record of the block told one and no file lacked the key), the summaries of a feed are
    folded, and each block is then replayed from the layout that reaches it.
 3. *Differences*: keys that vanish and appear in the same step are paired when their contents are of one kind
    (cosine of the profiles, or the same name up to case and separators), each key at most once.
@@ -122,7 +122,7 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
 
     kind is a JSON type (then bucket is null and n counts records of the file with it), or `profile <type>` (then n
     counts features of the field's values of that type in the bucket, over all files of the table; feed and file_no
-    are null). Summed over all records.
+    are null), or `top` (bucket -1: the key is the top-level one of n payloads). Summed over all records.
     The top-level key of a wrapped payload is a field of its own, of type array.
     """
 
@@ -139,6 +139,7 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
                 where = (table_name, feed, file_no)
                 if top is not None:
                     types[(*where, top, "array")] += 1
+                    words[(table_name, top, "top", -1)] += 1
                     words[(table_name, top, "array", zlib.crc32(b"list of records") % PROFILE)] += len(rows)
                 for row in rows:
                     for key, value in row.items():
@@ -161,7 +162,7 @@ def headers(raw: DataFrame, wrapped: bool) -> DataFrame:
 
 
 def _flush(types: Counter, words: Counter) -> Iterator[pa.RecordBatch]:
-    rows = [(*k[:3], k[3], k[4], None, n) for k, n in types.items()] + [(t, None, None, k, f"profile {kind}", b, n) for (t, k, kind, b), n in words.items()]
+    rows = [(*k[:3], k[3], k[4], None, n) for k, n in types.items()] + [(t, None, None, k, kind if b < 0 else f"profile {kind}", b, n) for (t, k, kind, b), n in words.items()]
     types.clear()
     words.clear()
     if rows:
@@ -191,9 +192,12 @@ def step(before: dict[str, str] | None, own: dict[str, str]) -> dict[str, str]:
 
 
 def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    state: dict[str, str] | None = None
+    """The block's last layout: key -> [type, whether a type that is still open is that of the layout before the block],
+    which holds only for keys that no file of the block lacks."""
+    state: dict[str, tuple[str, bool]] | None = None
     for _, own in _layouts(pdf):
-        state = step(state, own)
+        before = state
+        state = {k: (t, False) if t else ("", True) if before is None else before.get(k, ("", False)) for k, t in own.items()}
     first = pdf.iloc[0]
     return pd.DataFrame([[first["table_name"], first["feed"], first["block"], json.dumps(state)]], columns=["table_name", "feed", "block", "layout"])
 
@@ -203,7 +207,8 @@ def _reach(pdf: pd.DataFrame) -> pd.DataFrame:
     rows = []
     for r in pdf.sort_values("block").itertuples():
         rows.append([r.table_name, r.feed, r.block, json.dumps(state)])
-        state = step(state, json.loads(r.layout))
+        before = state or {}
+        state = {k: t or (before.get(k, "") if inherits else "") for k, (t, inherits) in json.loads(r.layout).items()}
     return pd.DataFrame(rows, columns=["table_name", "feed", "block", "incoming"])
 
 
@@ -260,7 +265,7 @@ def pair_renames(changes: DataFrame, heads: DataFrame) -> DataFrame:
     gone = changes.where("change_kind = 'removed'").select(*where, F.col("field_name").alias("old"), "old_type")
     come = changes.where("change_kind = 'added'").select(*where, F.col("field_name").alias("new"), "new_type")
     both = gone.join(come, where)
-    typed = heads.where("bucket is not null").select("table_name", "field", F.substring("kind", 9, 20).alias("kind"), "bucket", "n")
+    typed = heads.where("bucket >= 0").select("table_name", "field", F.substring("kind", 9, 20).alias("kind"), "bucket", "n")
     profile = typed.unionByName(typed.groupBy("table_name", "field", "bucket").agg(F.sum("n").alias("n")).withColumn("kind", F.lit("")))
     norm = profile.groupBy("table_name", "field", "kind").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
     asked = both.select("table_name", "old", "new", F.explode(F.array(F.struct("old_type", "new_type"), F.struct(F.lit("").alias("old_type"), F.lit("").alias("new_type")))).alias("t"))
@@ -322,36 +327,52 @@ def drift(heads: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def lineages(changes: DataFrame, heads: DataFrame) -> dict[str, tuple[str, str]]:
-    """key -> (canonical name, promoted type): renamed keys form one lineage, named by its first key in order.
+Lineages = dict[str, dict[str, tuple[str, str]]]
+
 
-    Collects the distinct (key, type) pairs and the distinct renames: as many rows as there are key names, not
-    records. Fails above 100,000 names.
+def lineages(changes: DataFrame, heads: DataFrame) -> Lineages:
+    """table_name -> key -> (canonical name, promoted type): keys renamed in any feed of a table form one lineage, named
+    by its first key in order. Top-level keys that no record holds have none.
+
+    The driver holds the distinct (table, key, type) and the distinct renames: as many rows as there are key names, not
+    records. Fails above 100,000 names, which no table could have as columns.
     """
     limit = 100_000
-    fields = heads.where("bucket is null").groupBy("field", "kind").agg(F.min("file_no").alias("first")).take(limit + 1)
-    pairs = changes.where("change_kind = 'renamed'").select("field_name", "new_name").distinct().take(limit + 1)
+    fields = heads.where("bucket is null or bucket < 0").groupBy("table_name", "field", "kind").agg(F.min("file_no").alias("first")).take(limit + 1)
+    pairs = changes.where("change_kind = 'renamed'").select("table_name", "field_name", "new_name").distinct().take(limit + 1)
     if max(len(fields), len(pairs)) > limit:
         raise ValueError("more than 100,000 key names: these are data, not a schema")
-    root: dict[str, str] = {r["field"]: r["field"] for r in fields}
-    first: dict[str, int] = {}
+    tops = {(r["table_name"], r["field"]) for r in fields if r["kind"] == "top"}
+    held = {(r["table_name"], r["field"]) for r in fields if r["kind"] not in ("top", "array")}
+    fields = [r for r in fields if (r["table_name"], r["field"]) not in tops - held and r["kind"] != "top"]
+    root = {(r["table_name"], r["field"]): (r["table_name"], r["field"]) for r in fields}
+    first: dict[tuple[str, str], int] = {}
     for r in fields:
-        first[r["field"]] = min(first.get(r["field"], r["first"]), r["first"])
+        key = (r["table_name"], r["field"])
+        first[key] = min(first.get(key, r["first"]), r["first"])
 
-    def find(x: str) -> str:
+    def find(x: tuple[str, str]) -> tuple[str, str]:
         while root[x] != x:
             x = root[x]
         return x
 
     for r in pairs:
-        a, b = find(r["field_name"]), find(r["new_name"])
+        ends = [(r["table_name"], r["field_name"]), (r["table_name"], r["new_name"])]
+        if not all(e in root for e in ends):  # top-level keys
+            continue
+        a, b = map(find, ends)
         if a != b:
             keep, drop = sorted((a, b), key=lambda k: (first[k], k))
             root[drop] = keep
-    kinds: dict[str, str | None] = {}
+    kinds: dict[tuple[str, str], str | None] = {}
     for r in sorted(fields, key=lambda r: (r["field"], r["kind"])):
-        kinds[find(r["field"])] = promote(kinds.get(find(r["field"])), None if r["kind"] == "null" else r["kind"])
-    return {k: (find(k), kinds[find(k)] or "string") for k in root}
+        at = find((r["table_name"], r["field"]))
+        kinds[at] = promote(kinds.get(at), None if r["kind"] == "null" else r["kind"])
+    out: Lineages = {}
+    for table_name, key in root:
+        at = find((table_name, key))
+        out.setdefault(table_name, {})[key] = (at[1], kinds[at] or "string")
+    return out
 
 
 def _cell(value: object, kind: str) -> str | None:
@@ -363,18 +384,23 @@ def _cell(value: object, kind: str) -> str | None:
 _SQL_TYPES = {"number": "double", "boolean": "boolean"}
 
 
-def unify(raw: DataFrame, names: dict[str, tuple[str, str]], wrapped: bool, skip: tuple[str, ...] = ()) -> DataFrame:
-    """All keyed records as one table: table_name, feed, file_no, record_no and one column per lineage, cast to
-    its promoted type (numbers double, booleans boolean, everything else string; objects and arrays as JSON).
+def unify(raw: DataFrame, names: Lineages, wrapped: bool) -> DataFrame:
+    """All keyed records as one table: table_name, feed, file_no, record_no, one column per lineage, cast to its promoted
+    type over all tables (numbers double, booleans boolean, everything else string; objects and arrays as JSON), and `also`.
 
-    Keys of one lineage that occur in one record: the first non-null in the record's order wins. A clash of a
-    lineage's name with table_name, feed, file_no or record_no gets the prefix `f_`.
+    Keys of one lineage that occur in one record: the first non-null in the record's order stands in the column, the
+    others in `also` (JSON, by key; null where there are none), so no value is lost. A clash of a lineage's name with
+    another column gets the prefix `f_`.
     """
-    reserved = {"table_name", "feed", "file_no", "record_no"}
-    targets = sorted({n for k, (n, _) in names.items() if k not in skip})
-    kinds = {n: t for n, t in names.values()}
+    reserved = {"table_name", "feed", "file_no", "record_no", "also"}
+    kinds: dict[str, str] = {}
+    for of in names.values():
+        for n, t in of.values():
+            kinds[n] = promote(kinds.get(n), t) or t
+    targets = sorted(kinds)
     columns = [f"f_{n}" if n.lower() in reserved else n for n in targets]
-    place = {k: targets.index(n) for k, (n, _) in names.items() if n in targets}
+    at = {n: i for i, n in enumerate(targets)}
+    place = {t: {k: at[n] for k, (n, _) in of.items()} for t, of in names.items()}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -383,17 +409,23 @@ def unify(raw: DataFrame, names: dict[str, tuple[str, str]], wrapped: bool, skip
             for table_name, feed, file_no, body in zip(*head, strict=True):
                 _, records = _records(parse(body), wrapped)
                 for i, record in enumerate(records):
-                    out: list = [table_name, feed, file_no, i] + [None] * len(targets)
+                    out: list = [table_name, feed, file_no, i] + [None] * (len(targets) + 1)
+                    also: dict[str, object] = {}
                     for key, value in record.items():
-                        at = place.get(key)
-                        if at is not None and out[4 + at] is None:
-                            out[4 + at] = _cell(value, kinds[targets[at]])
+                        to = place.get(table_name, {}).get(key)
+                        if value is None:
+                            continue
+                        if to is not None and out[4 + to] is None:
+                            out[4 + to] = _cell(value, kinds[targets[to]])
+                        else:
+                            also[key] = value
+                    out[-1] = json.dumps(also, ensure_ascii=False) if also else None
                     rows.append(out)
             if rows:
-                types = [pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * len(targets)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["table_name", "feed", "file_no", "record_no", *(f"c{i}" for i in range(len(targets)))])
+                types = [pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.string()] * (len(targets) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["table_name", "feed", "file_no", "record_no", *(f"c{i}" for i in range(len(targets))), "also"])
 
-    schema = "table_name string, feed string, file_no long, record_no long" + "".join(f", c{i} string" for i in range(len(targets)))
+    schema = "table_name string, feed string, file_no long, record_no long" + "".join(f", c{i} string" for i in range(len(targets))) + ", also string"
     out = raw.select("table_name", "feed", F.col("file_no").cast("long").alias("file_no"), F.col("body").cast("string").alias("body")).mapInArrow(scan, schema)
     cast = [F.col(f"c{i}").try_cast(_SQL_TYPES.get(kinds[n], "string")).alias(c) for i, (n, c) in enumerate(zip(targets, columns, strict=True))]
-    return out.select("table_name", "feed", "file_no", "record_no", *cast)
+    return out.select("table_name", "feed", "file_no", "record_no", *cast, "also")

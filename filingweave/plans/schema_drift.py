@@ -36,9 +36,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     heads = filing_headers(spark, d)
     names = sd.lineages(sd.drift(heads), heads)
-    tops = tuple(k for k, (n, t) in names.items() if n in {"announcementList", "annList", "announcement_list", "records"})
-    rows = sd.unify(raw_announcements(spark, d), names, wrapped=False, skip=tops)
-    return rows.unionByName(sd.unify(raw_malformed(spark, d), names, wrapped=True, skip=tops))
+    rows = sd.unify(raw_announcements(spark, d), names, wrapped=False)
+    return rows.unionByName(sd.unify(raw_malformed(spark, d), names, wrapped=True))
 
 
 QUERIES = {"p4_found": p4_found, "p4_unified": p4_unified}

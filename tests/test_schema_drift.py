@@ -91,3 +91,28 @@ def test_empty_and_odd_records(spark):
     odd = ['{"a\\ud800": "x\\udfff", "k": NaN}', "[" * 100_000, '{"a": ' * 5000, '"text"', "7", '{"deep": ' + "[" * 400 + "]" * 400 + "}", '{"e": "\\ud83d\\ude00"}']
     got = run(spark, [("f", None, {"z": 1}), *(("f", i, x) for i, x in enumerate(odd))])
     assert {(n, kind) for _, n, kind, _, _ in got} == {(5, "added"), (5, "removed"), (6, "added"), (6, "removed")}
+
+
+def test_blocks_of_any_size_tell_the_same(spark):
+    """A key that vanishes and comes back with nulls only has lost its type, wherever the blocks are cut."""
+    rng = random.Random(3)
+    files = [("f", 1, {"a": 1, "b": 1}), ("f", 2, {"b": 1}), ("f", 3, {"a": None, "b": 1}), ("f", 4, {"a": "x", "b": 1})]
+    files += [("g", n, {k: rng.choice([None, 1, "x"]) for k in "abcd" if rng.random() < 0.7} | {"e": 1}) for n in range(1, 40)]
+    told = [run(spark, files, block=b) for b in (1, 2, 3, 1000)]
+    assert told[0] == told[1] == told[2] == told[3]
+    assert not any(feed == "f" and kind == "retyped" for feed, _, kind, _, _ in told[0])
+
+
+def test_unify_loses_no_cell(spark):
+    feeds = {"x": [("news", [{"issuer": f"A{i} BERHAD", "n": i} for i in range(9)]), ("items", [{"entity": f"A{i} BERHAD", "issuer": None, "n": str(i)} for i in range(9)])]}
+    feeds["y"] = [("news", [{"entity": f"A{i} BERHAD", "issuer": f"B{i}", "also": {"k": i}, "news": "text"} for i in range(9)])]
+    raw = spark.createDataFrame([("t", feed, i + 1, json.dumps({"ok": 1, top: records}), "x") for feed, fs in feeds.items() for i, (top, records) in enumerate(fs)], RAW)
+    heads = sd.headers(raw, True).cache()
+    names = sd.lineages(sd.drift(heads), heads)
+    assert "items" not in names["t"] and "news" in names["t"]  # a record holds `news` too
+    rows = [r.asDict() for r in sd.unify(raw, names, True).collect()]
+    cells = [v for fs in feeds.values() for _, records in fs for r in records for v in r.values() if v is not None]
+    back = [v for r in rows for k, v in r.items() if k not in ("table_name", "feed", "file_no", "record_no", "also") and v is not None]
+    more = [v for r in rows if r["also"] for v in json.loads(r["also"]).values()]
+    plain = lambda v: v if isinstance(v, str) else json.dumps(v)
+    assert len(rows) == 27 and sorted(map(plain, cells)) == sorted(map(plain, back + more))
