@@ -38,9 +38,21 @@ def date_in(text: Column) -> Column:
     return F.coalesce(_parsed(text), F.get(read, F.lit(0)))
 
 
-def since_filter(day: Column, boundary: str) -> Column:
-    """Rows from a boundary date on; rows without a date pass."""
-    return day.isNull() | (day >= F.lit(boundary))
+def boundary(text: str) -> Column:
+    """A boundary date as listings print dates, as an ISO date; where it can't be read, the query that uses it fails
+    instead of keeping or dropping everything."""
+    day = normalise_date(F.lit(text))
+    return F.coalesce(day, F.raise_error(F.lit(f"no date: {text}")))
+
+
+def since_filter(day: Column, start: Column | str) -> Column:
+    """Rows from a boundary date (ISO, see `boundary`) on; rows without a date pass."""
+    return day.isNull() | (day >= (F.lit(start) if isinstance(start, str) else start))
+
+
+def utc_stamp(at: Column | str) -> Column:
+    """A time as UTC text in seconds, `2024-01-31T09:00:00Z`; the session's time zone is UTC."""
+    return F.date_format(F.col(at) if isinstance(at, str) else at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def period_index(year: Column | str, quarter: Column | str) -> Column:

@@ -32,7 +32,7 @@ def cache_name(url: Column | str) -> Column:
 
 
 def disallowed(robots: str, agent: str) -> list[str]:
-    """Regular expressions of the Disallow rules that bind an agent: the groups that name it, else those of '*'."""
+    """Regular expressions of the Disallow rules that bind an agent: those of the groups that name it and of '*'."""
     groups: list[tuple[list[str], list[str]]] = []
     fresh = True
     for raw in robots.splitlines():
@@ -45,7 +45,7 @@ def disallowed(robots: str, agent: str) -> list[str]:
             fresh = False
         elif key == "disallow" and groups and value:
             groups[-1][1].append(value)
-    own = [g for g in groups if any(a != "*" and a in agent.lower() for a in g[0])] or [g for g in groups if "*" in g[0]]
+    own = [g for g in groups if any(a == "*" or (a and a in agent.lower()) for a in g[0])]
     rules = []
     for _, paths in own:
         for path in paths:

@@ -32,6 +32,11 @@ def case_results(checks: DataFrame, key: str, informational: Sequence[str] = ())
     return checks.groupBy(key).agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(~F.col("passed")).alias("n_failed"), F.bool_and(F.col("passed") | counts).alias("passed"))
 
 
+def run_totals(cases: DataFrame) -> DataFrame:
+    """One row for a run of cases: total, passed, failed."""
+    return cases.agg(F.count(F.lit(1)).alias("total"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"))
+
+
 def warning_diff(actual: Column, required: Column, optional: Column) -> Column:
     """struct<missing,unexpected> of two lists of messages, figures apart."""
     plain = lambda x: F.transform(x, masked_numbers)

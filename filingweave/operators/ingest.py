@@ -36,6 +36,11 @@ def ingested_scope(files: DataFrame, approved: DataFrame, pending: DataFrame) ->
     return files.join(held, ["sha256", "file_size"], "left").select(*files.columns, scope.alias("scope"), F.col("first.id").alias("held_id"))
 
 
+def file_identity(content: Column) -> Column:
+    """struct<sha256,file_size> of a file's bytes."""
+    return F.struct(F.sha2(content, 256).alias("sha256"), F.octet_length(content).cast("long").alias("file_size"))
+
+
 def verify_text(text: Column, own_report: Column) -> Column:
     """`rejected` for too little text (a scan) or one of the tool's own reports, else `verified`."""
     return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) < MIN_TEXT, "rejected").when(own_report, "rejected").otherwise("verified")

@@ -91,3 +91,13 @@ def carried_forward(prior: Column, fresh: Column) -> Column:
 
 
 __all__ = ["carried_forward", "self_report", "unit_audit", "untraced", "warnings"]
+
+
+def type_errors(record: Column | str, kinds: dict[str, str]) -> Column:
+    """The fields of a JSON record whose value is of another type than `kinds` says (string or number); null and missing
+    values are of any type. Unreadable records have no types to be wrong."""
+    text = F.col(record) if isinstance(record, str) else record
+    shown = {"string": "STRING", "number": "(BIGINT|DOUBLE|DECIMAL.*)"}
+    value = lambda field: F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), F.lit(f"$.{field}"), "variant"))
+    wrong = lambda field, kind: F.when(~value(field).rlike(f"^(?:{shown[kind]}|VOID)$"), F.lit(field))
+    return F.array_compact(F.array(*(wrong(f, k) for f, k in kinds.items())))

@@ -188,3 +188,28 @@ def test_report_warnings_applies_every_rule(spark, tmp_path):
     negative = ["revenue_previous_quarter is negative", "revenue_same_quarter_last_year is negative"]
     assert [got[i] for i in range(4)] == [[], ["pbt_previous_quarter"], ["pbt_same_quarter_last_year"], negative]
     assert got[4][0].startswith("No financial values") and got[5] == ["Document metadata names a different entity than the report body"]
+
+
+def test_discovered(spark):
+    from filingweave.operators import views
+
+    attachments = spark.createDataFrame(
+        [(1, 10, "a.pdf", "/a", "/d/a", "verified"), (2, 10, "b.pdf", "/b", "/d/b", "verified"), (3, 11, "c.pdf", "/c", "/d/c", "rejected"), (4, 12, "d.pdf", "/d", None, "verified"), (5, 12, "e.pdf", "/e", "/d/e", "verified"), (6, 99, "f", "/f", "/d/f", "verified")],
+        "id long, announcement_id long, filename string, url string, local_path string, verification_status string",
+    )
+    announcements = spark.createDataFrame([(10, 1, "A", "2024-01-02", "discovered"), (11, None, "B", None, "discovered"), (12, 7, "C", "2024-03-01", "approved")], "id long, company_id long, title string, announced_at string, status string")
+    companies = spark.createDataFrame([(1, "One"), (1, "Uno")], "id long, name string")
+    pending = spark.createDataFrame([(2,), (2,), (None,)], "source_attachment_id long")
+    files = spark.createDataFrame([("/d/a",), ("/d/b",), ("/d/c",), ("/d/e",), ("/d/e",), (None,)], "path string")
+    rows = views.discovered(attachments, announcements, companies, pending, files).collect()
+    assert [(r.id, r.company_name, r.n_pending, r.available) for r in rows] == [(5, None, 0, False), (4, None, 0, False), (2, "One", 2, False), (1, "One", 0, True), (3, None, 0, False)]
+    assert "local_path" not in rows[0].asDict()
+
+
+def test_a_boundary_that_is_no_date_fails_the_query(spark):
+    from filingweave.functions import dates
+
+    rows = spark.createDataFrame([("2024-03-06",), ("2024-03-04",), (None,)], "day string")
+    assert rows.where(dates.since_filter(F.col("day"), dates.boundary("5 March 2024"))).count() == 2
+    with pytest.raises(Exception, match="no date: soon"):
+        rows.where(dates.since_filter(F.col("day"), dates.boundary("soon"))).count()

@@ -110,6 +110,8 @@ def test_robots():
     rules = urls.disallowed("User-agent: *\nDisallow: /private/\nDisallow: /*.pdf$\n\nUser-agent: other\nDisallow: /\n", "me")
     assert rules == ["^/private/", r"^/.*\.pdf$"]
     assert urls.disallowed("User-agent: *\nDisallow:\n", "me") == []
+    both = urls.disallowed("User-agent: *\nDisallow: /a\n\nUser-agent: me\nUser-agent: other\nDisallow: /b$\n\nUser-agent: third\nDisallow: /c\n", "Me/1.0")
+    assert both == ["^/a", "^/b$"]
 
 
 def test_cache_name_and_file_name(spark):
