@@ -4,7 +4,8 @@ Canonical rewriting: a name is a set of canonical words. Rules bring each typed
 (abbreviations and translations, legal forms, slips of up to two letters, words cut in two or run together), word
 order is dropped, and every entity of the list is rewritten in all the ways its name is shortened: without legal
 form, without its middle words, without its trade, as initials, as its short name, as a nickname or a former name
-told in the notes. The rewritings are exploded and equi-joined with the typed forms. A rewriting's score is its
+told in the notes. The rewritings are exploded and equi-joined with the typed forms; slips are undone by an equi-join of
+deletions of the distinct typed words with those of the known ones. A rewriting's score is its
 rarity, one over the entities that have it, less what it leaves out and what was corrected; a typed name whose best
 rewriting belongs to two entities alike is linked to none.
 
@@ -17,9 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import pyarrow as pa
@@ -27,9 +26,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingweave.operators.joins import salted_join
+from filingweave.session import cut
 
-SHARD = 5_000
 WHOLE = 0.85
+MOST_SUBSETS = 10  # words of a name besides its first up to which its shortenings are written out; longer names are joined by their first word
 
 # Abbreviations and translations of trade, middle and legal words.
 REWRITINGS = {
@@ -108,84 +108,60 @@ def slips(a: str, b: str) -> int:
     return row[-1]
 
 
-class Vocabulary:
-    """Canonical words and the way from a typed word to them."""
-
-    def __init__(self, words: Iterable[str]) -> None:
-        self.words = set(words)
-        self.exact = {w: w for w in self.words} | {s: f for s, f in _REWRITTEN.items() if f in LEGAL or f in self.words or len(s) > 3}
-        self.exact.update({w: w for w in self.words if w not in _REWRITTEN})
-        self.near: dict[str, set[str]] = defaultdict(set)
-        for w in self.exact:
-            if len(w) < 4 or (len(w) < 6 and w not in self.words and w not in REWRITINGS):
-                continue
-            for d in deletes(w, 2 if len(w) >= 6 else 1):
-                self.near[d].add(w)
-        self.longest = max(map(len, self.exact), default=0)
-        self.word = lru_cache(maxsize=1 << 16)(self._word)
-        self.canonical = lru_cache(maxsize=1 << 16)(self._canonical)
-
-    def __reduce__(self) -> tuple:
-        return Vocabulary, (sorted(self.words),)
-
-    def _word(self, typed: str) -> list[tuple[str, int]]:
-        """The nearest canonical words with their slips: one of none, or all that are equally near."""
-        if typed in self.exact:
-            return [(self.exact[typed], 0)]
-        if len(typed) < 4 or len(typed) > self.longest + 2:  # nothing is near enough
-            return []
-        most = 2 if len(typed) >= 6 else 1
-        best: dict[str, int] = {}
-        for d in deletes(typed, most):
-            for w in self.near.get(d, ()):
-                if w not in best:
-                    n = slips(typed, w)
-                    if n <= most and (n < 2 or len(w) >= 6):
-                        best[w] = n
-        least = min(best.values(), default=0)
-        return [(w, least) for w in sorted({self.exact[w] for w, n in best.items() if n == least})]
-
-    def _readings(self, raw: list[str]) -> Iterator[tuple[list[str], int]]:
-        """All readings of the typed words: each by itself, joined with the next, or cut in two."""
-        if not raw:
-            yield [], 0
-            return
-        w = raw[0]
-        alone = self.word(w)
-        heads = [([x], n, 1) for x, n in alone] or [([w], 0, 1)]
-        if not (alone and alone[0][1] == 0):
-            if len(raw) > 1:
-                heads += [([x], n + 1, 2) for x, n in self.word(w + raw[1]) if n < 2 and len(x) >= 5]
-            if 7 <= len(w) <= 2 * self.longest + 4:
-                cuts = [(x, y, n + m + 1) for k in range(3, len(w) - 2) for x, n in self.word(w[:k]) for y, m in self.word(w[k:]) if n + m < 2]
-                least = min((c[2] for c in cuts), default=0)
-                heads += [([x, y], n, 1) for x, y, n in cuts if n == least]
-        for words, n, used in heads:
-            for rest, m in self._readings(raw[used:]):
-                yield words + rest, n + m
-
-    def _canonical(self, typed: str | None) -> tuple[tuple[str, int], ...]:
-        """The canonical forms a typed name may mean, each with the corrections made.
-
-        A form is its sorted words without BERHAD. A name of more than 12 words is read word by word. A form of one
-        word takes one correction at most.
-        """
-        raw = words_of(typed)
-        readings: Iterable[tuple[list[str], int]]
-        if _INITIALS.match(clean(typed)):
-            readings = [(raw, 0)]
-        elif len(raw) > 12:
-            firsts = [(self.word(w) or [(w, 0)])[0] for w in raw]
-            readings = [([w for w, _ in firsts], sum(n for _, n in firsts))]
-        else:
-            readings = self._readings(raw)
-        out: dict[str, int] = {}
-        for words, made in readings:
-            form = sorted({w for w in words if w not in ("BERHAD", "SENDIRIAN")})
-            if form and (made < 2 or len(form) > 1):
-                key = " ".join(form)
-                out[key] = min(made, out.get(key, made))
-        return tuple(sorted(out.items()))
+def reachable(word: str, own: bool) -> bool:
+    """Whether slips may lead to a known word: short abbreviations are taken exactly only. `own`: of an entity's name."""
+    return len(word) >= 4 and (len(word) >= 6 or own or word in REWRITINGS)
+
+
+def most_slips(typed: str) -> int:
+    return 2 if len(typed) >= 6 else 1
+
+
+def nearest(typed: str, known: Iterable[tuple[str, str]]) -> list[tuple[str, int]]:
+    """Of the known words (word, canonical) that share a deletion with a typed one, the canonical words that are
+    nearest, with their slips."""
+    best: dict[str, int] = {}
+    for w, canonical in known:
+        n = slips(typed, w)
+        if n <= most_slips(typed) and (n < 2 or len(w) >= 6):
+            best[canonical] = min(n, best.get(canonical, n))
+    least = min(best.values(), default=0)
+    return [(w, n) for w, n in sorted(best.items()) if n == least]
+
+
+def cuts_of(word: str) -> list[tuple[str, str]]:
+    """The ways to read one typed word as two that were run together."""
+    return [(word[:k], word[k:]) for k in range(3, len(word) - 2)] if len(word) >= 7 else []
+
+
+Meant = list[tuple[str, int]]
+
+
+def readings(words: list[str], alone: dict[str, Meant], pairs: dict[str, Meant], cuts: dict[str, list[tuple[str, str, int]]], longest: int) -> dict[str, int]:
+    """The canonical forms a typed name may mean, each with the least corrections made: form -> made.
+
+    A form is the sorted distinct words without BERHAD; each typed word is read by itself, joined with the next, or
+    cut in two, going from position to position with the forms so far. Forms of more than `longest` words, which no
+    entity has, are dropped on the way. A form of one word takes one correction at most.
+    """
+    at: list[dict[tuple[str, ...], int]] = [{} for _ in range(len(words) + 2)]
+    at[0][()] = 0
+    for i, w in enumerate(words):
+        if not at[i]:
+            continue
+        mine = alone.get(w, [])
+        heads = [((x,), n, 1) for x, n in mine] or [((w,), 0, 1)]
+        if not (mine and mine[0][1] == 0):
+            if i + 1 < len(words):
+                heads += [((x,), n + 1, 2) for x, n in pairs.get(w + words[i + 1], []) if n < 2 and len(x) >= 5]
+            heads += [((x, y), n, 1) for x, y, n in cuts.get(w, [])]
+        for form, made in at[i].items():
+            for new, n, used in heads:
+                to = tuple(sorted({*form, *(x for x in new if x not in ("BERHAD", "SENDIRIAN"))}))
+                if len(to) <= longest and made + n < at[i + used].get(to, 1 << 30):
+                    at[i + used][to] = made + n
+        at[i] = {}
+    return {" ".join(form): made for form, made in at[len(words)].items() if form and (made < 2 or len(form) > 1)}
 
 
 def parts(name: str) -> tuple[str, list[str], list[str]]:
@@ -195,8 +171,25 @@ def parts(name: str) -> tuple[str, list[str], list[str]]:
     return lead, [w for w in rest if w not in LEGAL], [w for w in rest if w in LEGAL]
 
 
+def kept_of(weight: float, rest_lost: int, marks_lost: int) -> float:
+    """How much of a name a form keeps that leaves out so many of its words and legal words."""
+    return weight * (1 - 0.2 * rest_lost - 0.05 * marks_lost)
+
+
+def long_names(name: str, notes: str | None) -> list[tuple[str, list[str], list[str], float]]:
+    """(first word, other words, legal words, weight) of an entity's names that are too long to write out all forms."""
+    out = []
+    for full, weight in [(name, 1.0), *((f, 0.9) for f in _FORMER.findall(notes or ""))]:
+        lead, rest, legal = parts(full)
+        marks = [w for w in legal if w != "BERHAD"]
+        if lead and len(rest) + len(marks) > MOST_SUBSETS:
+            out.append((lead, rest, marks, weight))
+    return out
+
+
 def rewritings(name: str, short: str | None, notes: str | None) -> dict[tuple[str, ...], float]:
-    """Every canonical rewriting of an entity and how much of the name it keeps (1 for all of it)."""
+    """Every canonical rewriting of an entity and how much of the name it keeps (1 for all of it), but for the
+    shortenings of `long_names`."""
     out: dict[tuple[str, ...], float] = {}
 
     def add(words: Iterable[str], kept: float) -> None:
@@ -209,11 +202,11 @@ def rewritings(name: str, short: str | None, notes: str | None) -> dict[tuple[st
         if not lead:
             return
         marks = [w for w in legal if w != "BERHAD"]
-        for k in range(len(rest) + 1):
+        for k in range(len(rest) + 1) if len(rest) + len(marks) <= MOST_SUBSETS else ():
             for some in combinations(rest, k):
                 for n in range(len(marks) + 1):
                     for few in combinations(marks, n):
-                        add([lead, *some, *few], weight * (1 - 0.2 * (len(rest) - k) - 0.05 * (len(marks) - n)))
+                        add([lead, *some, *few], kept_of(weight, len(rest) - k, len(marks) - n))
         every = words_of(full)
         initials = "".join(w[0] for w in every)
         for text in {initials, initials.removesuffix("B")} if weight == 1 else ():
@@ -236,6 +229,7 @@ def rewritings(name: str, short: str | None, notes: str | None) -> dict[tuple[st
 def entity_words(name: str, short: str | None, notes: str | None) -> set[str]:
     """The canonical words an entity adds to the vocabulary."""
     out = {w for form in rewritings(name, short, notes) for w in form if len(form) > 1 or len(w) > 5}
+    out |= {w for lead, rest, marks, _ in long_names(name, notes) for w in (lead, *rest, *marks)}
     return {w for w in out if w not in LEGAL} | set(words_of(short or ""))
 
 
@@ -256,6 +250,30 @@ def entity_forms(entities: DataFrame) -> DataFrame:
     return entities.select("code", "name", "short_name", "notes").mapInArrow(scan, FORMS)
 
 
+LONG = "code string, lead string, rest array<string>, marks array<string>, weight double"
+
+
+def long_forms(entities: DataFrame, typed_forms: DataFrame) -> DataFrame:
+    """The forms among the typed ones that shorten an entity's long name: (form, code, kept), joined by its first word."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for code, name, notes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows += [(code, *long) for long in long_names(name or "", notes)]
+            if rows:
+                kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in LONG.split(", ")])
+
+    long = entities.select("code", "name", "notes").mapInArrow(scan, LONG)
+    forms = typed_forms.select("form").distinct().withColumn("words", F.split("form", " "))
+    led = forms.select("form", "words", F.explode("words").alias("lead")).join(long, "lead")
+    inside = led.where(F.size(F.array_except("words", F.concat(F.array("lead"), "rest", "marks"))) == 0)
+    kept = lambda of: F.size(F.filter(of, lambda w: F.array_contains("words", w)))
+    lost = lambda of: F.size(of) - kept(of)
+    return inside.select("form", "code", (F.col("weight") * (1 - 0.2 * lost("rest") - 0.05 * lost("marks"))).alias("kept"))
+
+
 def scored_forms(forms: DataFrame) -> DataFrame:
     """One row per form: the entity that keeps most in it, its score, and whether another has as good a claim: it
     keeps as much, or the form leaves words out of all their names (below WHOLE), so that any may be meant.
@@ -274,26 +292,153 @@ def scored_forms(forms: DataFrame) -> DataFrame:
     )
 
 
-def typed_forms(typed: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(row_id, form, made) of typed names: the canonical forms each may mean and the corrections made for them."""
+def vocabulary(entities: DataFrame) -> DataFrame:
+    """word, canonical, own: every word that is read as a canonical one. An abbreviation counts where its full word is
+    one of an entity's, is legal, or it has more than three letters."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: set[str] = set()
+            for name, short, notes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words |= entity_words(name or "", short, notes)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], names=["word"])
+
+    own = cut(entities.select("name", "short_name", "notes").mapInArrow(scan, "word string").distinct())
+    fixed = entities.sparkSession.createDataFrame(sorted(_REWRITTEN.items()), "word string, canonical string")
+    full = own.select(F.col("word").alias("canonical")).join(F.broadcast(fixed.select("canonical").distinct()), "canonical", "left_semi").withColumn("told", F.lit(True))
+    used = fixed.join(F.broadcast(full), "canonical", "left").where(F.col("told") | F.col("canonical").isin(*LEGAL) | (F.length("word") > 3)).select("word", "canonical")
+    every = own.join(F.broadcast(used), "word", "left").select("word", F.coalesce("canonical", "word").alias("canonical"), F.lit(True).alias("own"))
+    return every.unionByName(used.join(own, "word", "left_anti").withColumn("own", F.lit(False)))
+
+
+PROBES = "typed string, probe string"
+
+
+def _deletions(words: DataFrame, schema: str, depth: Callable[[str], int], keep: Callable[..., bool] = lambda *_: True) -> DataFrame:
+    """Words (and the columns beside them) with each of their deletions as `probe`."""
+    width = len(schema.split(", ")) - 1
+    kinds = [pa.bool_() if c.endswith("boolean") else pa.string() for c in schema.split(", ")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, form, made) for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for form, made in vocabulary.canonical(x)]
+            for start in range(0, batch.num_rows, 2_000):
+                rows = []
+                for row in zip(*(batch.column(i).slice(start, 2_000).to_pylist() for i in range(width)), strict=True):
+                    if keep(*row):
+                        rows += [(*row, d) for d in deletes(row[0], depth(row[0]))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
+
+    return words.mapInArrow(scan, schema)
+
+
+MEANT = "array<struct<word:string,n:int>>"
+
+
+def near_words(tokens: DataFrame, known: DataFrame) -> DataFrame:
+    """token -> meant: the nearest known words of each token (see `nearest`), by an equi-join of the deletions of both.
+
+    tokens: token; none of them is known exactly. A word of L letters has some L * L / 2 deletions; words longer than
+    any known one by more than the slips allowed are near to none and left out.
+    """
+    longest = known.agg(F.max(F.length("word"))).first()[0] or 0
+    fit = tokens.where(F.length("token").between(4, longest + 2))
+    theirs = _deletions(known.select("word", "canonical", "own"), "known string, canonical string, own boolean, probe string", lambda w: 2 if len(w) >= 6 else 1, lambda w, _, own: reachable(w, own))
+    ours = _deletions(fit.select("token"), PROBES, most_slips)
+    met = ours.join(theirs.drop("own"), "probe").select("typed", "known", "canonical").distinct()
+    by_typed = met.groupBy("typed").agg(F.collect_list(F.struct("known", "canonical")).alias("known"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(t, nearest(t, ((k["known"], k["canonical"]) for k in known))) for t, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            found = [(t, [{"word": w, "n": n} for w, n in meant]) for t, meant in found if meant]
+            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([m for _, m in found], kind)], names=["token", "meant"])
+
+    return by_typed.mapInArrow(scan, f"token string, meant {MEANT}")
+
+
+SPLIT = "company string, words array<string>, initials boolean"
+
+
+def typed_words(companies: DataFrame) -> DataFrame:
+    """The words of each distinct typed name, and whether it is a name's initials with dots."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            typed = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words_of(x) for x in typed], pa.list_(pa.string())), pa.array([bool(_INITIALS.match(clean(x))) for x in typed], pa.bool_())], names=["company", "words", "initials"])
+
+    return companies.select("company").distinct().mapInArrow(scan, SPLIT)
+
+
+def typed_forms(companies: DataFrame, known: DataFrame, longest: int) -> DataFrame:
+    """(company, form, made): the canonical forms each distinct typed name may mean and the corrections made for them.
+
+    Words that aren't known exactly are looked up by their deletions, as are such words joined with the next; for
+    their cuts in two, one part has to be known exactly and the other to be at most one slip away.
+    """
+    split = cut(typed_words(companies))
+    exact = cut(known.select(F.col("word").alias("token"), "canonical"))
+    words = split.where("not initials").select(F.explode("words").alias("token")).distinct()
+    unknown = cut(words.join(exact, "token", "left_anti"))
+
+    plain = split.where("not initials")
+    following = F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0)))
+    neighbours = plain.select("company", F.explode(F.arrays_zip(F.col("words").alias("a"), following.alias("b"))).alias("p")).where("p.b is not null")
+    joined = neighbours.join(unknown, F.col("p.a") == unknown["token"], "left_semi").select(F.concat("p.a", "p.b").alias("token")).distinct()
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, x, y) for w in batch.column(0).to_pylist() for x, y in cuts_of(w)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["word", "x", "y"])
+
+    longest_word = known.agg(F.max(F.length("word"))).first()[0] or 0
+    parted = unknown.where(F.length("token") <= 2 * longest_word + 4).mapInArrow(cut_up, "word string, x string, y string")
+    of = lambda side: exact.select(F.col("token").alias(side), F.col("canonical").alias(f"{side}_is"))
+    parted = cut(parted.join(of("x"), "x", "left").join(of("y"), "y", "left").where("x_is is not null or y_is is not null"))
+    other = parted.where("x_is is null or y_is is null").select(F.when(F.col("x_is").isNull(), F.col("x")).otherwise(F.col("y")).alias("token")).distinct()
+
+    asked = unknown.unionByName(joined.join(exact, "token", "left_anti")).unionByName(other).distinct()
+    near = cut(near_words(asked, known))
+    one = F.array(F.struct(F.col("canonical").alias("word"), F.lit(0).alias("n"))).cast(MEANT).alias("meant")
+    meant = near.unionByName(exact.select("token", one))
+
+    by_cut = meant.select("token", F.explode("meant").alias("m")).where("m.n < 2").select("token", "m.word", "m.n")
+    side = lambda s: by_cut.select(F.col("token").alias(s), F.col("word").alias(f"{s}_word"), F.col("n").alias(f"{s}_n"))
+    pairs = parted.select("word", "x", "y").join(side("x"), "x").join(side("y"), "y").where("x_n + y_n < 2")
+    costs = pairs.select("word", F.struct(F.col("x_word").alias("x"), F.col("y_word").alias("y"), (F.col("x_n") + F.col("y_n") + 1).alias("n")).alias("c"))
+    least = costs.groupBy("word").agg(F.min("c.n").alias("least"), F.collect_set("c").alias("cuts"))
+    cuts = least.select(F.col("word").alias("token"), F.expr("filter(cuts, c -> c.n = least)").alias("cuts"))
+
+    heads = meant.join(cuts, "token", "full_outer")
+    one_word, two_words = plain.select("company", F.explode("words").alias("token")), neighbours.select("company", F.concat("p.a", "p.b").alias("token"))
+    needed = one_word.unionByName(two_words).distinct()
+    found = salted_join(needed, heads, ["token"], "company").groupBy("company").agg(F.collect_list(F.struct("token", "meant", "cuts")).alias("found"))
+    named = split.join(found, "company", "left").select("company", "words", "initials", "found")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for company, raw, initials, found in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                table = {f["token"]: [(m["word"], m["n"]) for m in f["meant"] or ()] for f in found or ()}
+                ways = {f["token"]: sorted((c["x"], c["y"], c["n"]) for c in f["cuts"]) for f in found or () if f["cuts"]}
+                forms = {" ".join(sorted(set(raw))): 0} if initials and raw else readings(raw, table, table, ways, longest)
+                rows += [(company, form, made) for form, made in forms.items()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32()), strict=True)], names=["row_id", "form", "made"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], names=["company", "form", "made"])
 
-    return typed.select("row_id", "company").mapInArrow(scan, "row_id long, form string, made int")
+    return named.mapInArrow(read, "company string, form string, made int")
 
 
-def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None, shard: int = SHARD) -> DataFrame:
+def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(row_id, stock_code, score) for every typed name (row_id, company) that means an entity (stock_code, name,
     short_name, notes); `others` has names (name, and short_name and notes if it has them) known but not on the list.
 
     Names with no rewriting in common, and ties, link to nothing. Null, empty and punctuation-only names link to
     nothing; repeated rows link alike; entities without a name keep their short name; a name listed under two codes
-    is a tie. The vocabulary of the entities goes to the tasks in shards of at most `shard` entities, each shard one
-    pass, so its size is bounded.
+    is a tie. Each distinct typed name is read once; slips are found by a join of deletions, so what a name links to
+    depends neither on how long the list is nor on how it is spread.
     """
     listed = entities.select(F.col("stock_code").cast("string").alias("code"), "name", "short_name", "notes").where("code is not null")
     pool = listed
@@ -303,17 +448,19 @@ def link(typed: DataFrame, entities: DataFrame, others: DataFrame | None = None,
         told = [F.col(c) if c in others.columns else none.alias(c) for c in ("short_name", "notes")]
         rest = others.where("name is not null").select(none.alias("code"), "name", *told).distinct()
         pool = listed.unionByName(rest.join(known, F.upper(F.trim(rest["name"])) == known["key"], "left_anti"))
-    count = pool.count()
-    shards = max(1, -(-count // shard))
-    best = scored_forms(entity_forms(pool))
-    found = None
-    for k in range(shards):
-        mine = pool if shards == 1 else pool.where(F.pmod(F.xxhash64(F.coalesce("name", "short_name", F.lit(""))), F.lit(shards)) == k)
-        words: set[str] = set()
-        for r in mine.select("name", "short_name", "notes").distinct().toLocalIterator():
-            words |= entity_words(r["name"] or "", r["short_name"], r["notes"])
-        part = typed_forms(typed, Vocabulary(words))
-        found = part if found is None else found.unionByName(part)
-    scored = salted_join(found, best, ["form"], "row_id").withColumn("score", F.col("score") - 0.02 * F.col("made"))
-    ranked = scored.groupBy("row_id").agg(F.max_by(F.struct("code", "tied", "score"), F.struct("score", "form")).alias("b"))
-    return ranked.where("not b.tied and b.code <> ''").select("row_id", F.col("b.code").alias("stock_code"), F.col("b.score").alias("score"))
+    pool = cut(pool)
+    forms = cut(entity_forms(pool))
+    longest = max(forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 0, _longest_name(pool))
+    names = typed.where("company is not null")
+    found = cut(typed_forms(names, cut(vocabulary(pool)), longest))
+    best = scored_forms(forms.unionByName(long_forms(pool, found)).join(found.select("form").distinct(), "form", "left_semi"))
+    scored = salted_join(found, best, ["form"], "company").withColumn("score", F.col("score") - 0.02 * F.col("made"))
+    ranked = scored.groupBy("company").agg(F.max_by(F.struct("code", "tied", "score"), F.struct("score", "form")).alias("b"))
+    meant = ranked.where("not b.tied and b.code <> ''").select("company", F.col("b.code").alias("stock_code"), F.col("b.score").alias("score"))
+    return salted_join(names.select("row_id", "company"), meant, ["company"], "row_id").select("row_id", "stock_code", "score")
+
+
+def _longest_name(pool: DataFrame) -> int:
+    """The most words of a name or note in the pool, which no form of its names exceeds."""
+    words = F.greatest(*(F.size(F.split(F.coalesce(c, F.lit("")), "[^\\p{L}\\p{N}]+")) for c in ("name", "notes")))
+    return pool.agg(F.max(words)).first()[0] or 0

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from filingweave.llm import names as n
@@ -37,9 +39,55 @@ def test_others_compete(spark):
     assert linked(spark, ["Losete Steel Berhad", "Losete Steel Group"], others=["Losete Steel Berhad", "Losete Steel Group Berhad"]) == [None, "12"]
 
 
-def test_shards_and_repeats(spark):
+def test_repeats(spark):
     typed = [x for v in SPELLINGS.values() for x in v] * 2
-    assert linked(spark, typed, shard=1) == linked(spark, typed, shard=100) == [k for k, v in SPELLINGS.items() for _ in v] * 2
+    assert linked(spark, typed) == [k for k, v in SPELLINGS.items() for _ in v] * 2
+
+
+def test_the_length_of_the_list_changes_nothing(spark):
+    """Further entities, none of whose names is near, change no link."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(a) + rng.choice("xqzj") for a in rng.choices("vwkh", k=6))
+    more = [(f"x{i}", f"{word()} {word()} Berhad", None, None) for i in range(5_000)]
+    typed = [x for v in SPELLINGS.values() for x in v] + ["Fawinum Delta Timber Berhad", "Losete Rubber Berhad", "Zurapir Steel Group"]
+    assert linked(spark, typed, [*LIST, *more]) == linked(spark, typed)
+
+
+def test_long_names(spark):
+    """Names of many words, typed or listed, are read like others."""
+    many = [f"{a}{b}{a}OM" for a in ("GRE", "PLI", "TWO", "SKA") for b in ("BAN", "DOR", "LUV", "MIF")]
+    listed = [*LIST, ("20", "Vexinor " + " ".join(many) + " Berhad", None, None)]
+    left_out = "Vexinor " + " ".join(w for i, w in enumerate(many) if i % 3)
+    slip = left_out.replace("GREDORGREOM", "GREDORGEROM")
+    run_together = left_out.replace("PLIBANPLIOM PLIDORPLIOM", "PLIBANPLIOMPLIDORPLIOM")
+    assert left_out not in (slip, run_together)
+    assert linked(spark, [left_out, slip, run_together, "Vexinor " + " ".join(many[::-1]), left_out + " STEEL"], listed) == ["20", "20", "20", "20", None]
+    assert linked(spark, ["Dobadon " + "BERHAD " * 30 + "Murni Electrnics"]) == ["11"]
+
+
+def test_readings_against_every_way():
+    alone = {"A": [("ALPHA", 1), ("ALMA", 1)], "B": [("BETA", 0)], "C": [], "DD": []}
+    pairs = {"AB": [("ALPHABETA", 0)], "CDD": [("CEDED", 1)]}
+    cuts = {"DD": [("DA", "DE", 1)]}
+
+    def every(words):
+        if not words:
+            return [((), 0)]
+        w, out = words[0], []
+        heads = [((x,), k, 1) for x, k in alone.get(w, [])] or [((w,), 0, 1)]
+        if not (alone.get(w) and alone[w][0][1] == 0):
+            heads += [((x,), k + 1, 2) for x, k in pairs.get("".join(words[:2]), []) if len(words) > 1] + [((x, y), k, 1) for x, y, k in cuts.get(w, [])]
+        return [((*new, *rest), k + m) for new, k, used in heads for rest, m in every(words[used:])]
+
+    rng = random.Random(1)
+    for _ in range(300):
+        words = rng.choices(["A", "B", "C", "DD", "BERHAD"], k=rng.randint(0, 6))
+        want = {}
+        for form, made in every(words):
+            key = " ".join(sorted({x for x in form if x != "BERHAD"}))
+            if key and (made < 2 or " " in key):
+                want[key] = min(made, want.get(key, made))
+        assert n.readings(words, alone, pairs, cuts, 99) == want
 
 
 def test_one_name_under_two_codes_is_a_tie(spark):
