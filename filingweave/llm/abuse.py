@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingweave.llm.abuse_seeds import ABUSIVE, HARMLESS
+from filingweave.llm.corpus import plain_source
 
 MAX_LABELLED = 6_000
 MAX_LABELLED_CHARS = 12_000_000
@@ -398,15 +399,15 @@ def train(texts: list[str], votes: list[float]) -> Model:
 
 def labelled(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, most_chars: int = MAX_LABELLED_CHARS) -> tuple[list[str], list[float]]:
     """At most `most` labelled documents and `most_chars` characters, the lowest hashes of their ids first; each with
-    the share of raters for abusive."""
+    the share of raters for abusive. A text that no longer fits is passed over, not those behind it."""
     votes = labels.where("abusive is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("abusive").alias("vote"))
     picked = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = documents.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator()
     texts, shares, chars = [], [], 0
     for r in rows:
+        if chars + len(r["text"]) > most_chars:
+            continue
         chars += len(r["text"])
-        if chars > most_chars:
-            break
         texts.append(r["text"])
         shares.append(float(r["vote"]))
     return texts, shares
@@ -430,11 +431,6 @@ def score(documents: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) ->
     return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(scan, SCORED)
 
 
-def plain_source(source: str = "source"):
-    """Sources are compared regardless of spelling."""
-    return F.coalesce(F.nullif(F.regexp_replace(F.lower(F.trim(source)), "[^\\p{L}\\p{N}]+", "_"), F.lit("")), F.lit("unknown"))
-
-
 def rates(documents: DataFrame, scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents, abusive documents and their share per source."""
     return (

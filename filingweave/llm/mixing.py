@@ -1,10 +1,11 @@
 """Mixing sources to target weights (problem 7).
 
 Documents are counted in tokens of a public tokenizer. Each source's documents are dealt to shards and put into a
-seeded order; a shard's part of a source is cut into blocks of equal tokens. Sainte-Laguë apportionment gives every
-block of the mixture to the source with the highest quotient share / (2 a + 1), a being the blocks it has, as long as
-its cap (its blocks times max_repeats) allows; then each source's blocks go to its shards by the same rule. A shard with
-a quota of q blocks out of n uses all of them q // n times and the first q % n in the seeded order once more.
+seeded order; a shard's part of a source is a row of blocks of equal tokens, the last of them shorter. Sainte-Laguë
+apportionment gives every block of the mixture to the source with the highest quotient share / (2 a + 1), a being the
+blocks it has, as long as its cap (its tokens times max_repeats) allows; then each source's blocks go to its shards by the
+same rule. A shard with a quota of q tokens out of n uses all its documents q // n times and those of the first q % n
+tokens in the seeded order once more, so a source misses its due by less than half a document a shard.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from filingweave.llm.abuse import plain_source
+from filingweave.llm.corpus import plain_source
 from filingweave.session import cut
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -28,6 +29,7 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 BLOCK_TOKENS = 512
 SHARD_TOKENS = 1_000_000_000
 SEED = 17
+MOST_CELLS = 100_000  # pairs of a source and a shard, of which each is a row on the driver; shards grow beyond
 
 
 @lru_cache(maxsize=2)
@@ -85,20 +87,19 @@ def apportion(seats: int, weights: dict[str, float], caps: dict[str, int]) -> di
 
 
 def targets_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    """source (spelling apart) -> (target share, max repeats); one row per source is few, at most 10,000.
+    """source (spelling apart) -> (target share, max repeats). The targets are a configuration and read by the driver.
 
     Sources named twice add their shares and take the lower cap; null shares are 0, null caps 1.
     """
     rows = targets.select(plain_source().alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(1)).alias("most"))
-    got = rows.groupBy("source").agg(F.sum("share").alias("share"), F.min("most").alias("most")).take(10_001)
-    if len(got) > 10_000:
-        raise ValueError("more than 10,000 sources in the targets")
+    got = rows.groupBy("source").agg(F.sum("share").alias("share"), F.min("most").alias("most")).collect()
     return {r["source"]: (max(0.0, r["share"]), max(0, r["most"])) for r in got}
 
 
 def mix(documents: DataFrame, targets: DataFrame, budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(selection, shares): doc_id, source, tokens, copies of every document (0 where it isn't used); and per source
-    target_share, max_repeats, n_docs, tokens_available, blocks, quota_blocks, tokens_used, actual_share.
+    target_share, due_share (the target's part of those that have documents), max_repeats, n_docs, tokens_available,
+    blocks, quota_blocks, tokens_used, most_copies, actual_share.
 
     Without a budget the mixture is the largest in which every source that has documents can reach its share under
     its cap. Sources without a target get no blocks; targets without documents are reported with nothing used.
@@ -108,41 +109,39 @@ def mix(documents: DataFrame, targets: DataFrame, budget_tokens: int | None = No
     wanted = targets_of(targets)
     counted = cut(count_tokens(documents, path))
     total = counted.agg(F.sum("tokens")).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_tokens))
+    shards = max(1, min(-(-int(total) // shard_tokens), MOST_CELLS // max(1, len(wanted))))
     dealt = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)).cast("int"))
     named = spark.createDataFrame([(s,) for s in wanted], "source string")
-    cells = [(r["source"], r["shard"], r["n"], r["t"]) for r in dealt.join(named, "source", "left_semi").groupBy("source", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("t")).toLocalIterator()]
-    blocks = {(s, k): max(1, round(t / block_tokens)) if t else 0 for s, k, _, t in cells}
-    have: dict[str, int] = {}
-    tokens: dict[str, int] = {}
-    for s, k, _, t in cells:
-        have[s] = have.get(s, 0) + blocks[s, k]
-        tokens[s] = tokens.get(s, 0) + t
-    caps = {s: have.get(s, 0) * most for s, (_, most) in wanted.items()}
+    cells: dict[str, dict[str, int]] = {s: {} for s in wanted}
+    for r in dealt.join(named, "source", "left_semi").groupBy("source", "shard").agg(F.sum("tokens").alias("t")).where("t > 0").toLocalIterator():
+        cells[r["source"]][f"{r['shard']:09d}"] = r["t"]
+    blocks_in = lambda tokens: -(-tokens // block_tokens)
+    have = {s: sum(of.values()) for s, of in cells.items()}
+    caps = {s: blocks_in(have[s] * most) for s, (_, most) in wanted.items()}
+    present = sum(share for s, (share, _) in wanted.items() if caps[s])
     if budget_tokens is None:
-        reach = [caps[s] / share for s, (share, _) in wanted.items() if share > 0 and caps[s] > 0]
-        seats = int(min(reach) * sum(share for s, (share, _) in wanted.items() if caps[s] > 0)) if reach else 0
+        reach = [have[s] * most / share for s, (share, most) in wanted.items() if share > 0 and caps[s]]
+        seats = int(min(reach) * present / block_tokens) if reach else 0
     else:
         seats = budget_tokens // block_tokens
     quota = apportion(seats, {s: share for s, (share, _) in wanted.items()}, caps)
     rows = []
-    for s in wanted:
-        mine = {f"{k:09d}": (k, blocks[s, k]) for s2, k, _, _ in cells if s2 == s and blocks[s2, k]}
-        parts = apportion(quota[s], {name: float(n) for name, (_, n) in mine.items()}, {name: n * wanted[s][1] for name, (_, n) in mine.items()})
-        rows += [(s, k, n, parts[name] // n, parts[name] % n) for name, (k, n) in mine.items()]
-    plan = spark.createDataFrame(rows, "source string, shard int, n long, base long, more long")
+    for s, (_, most) in wanted.items():
+        parts = apportion(quota[s], {k: float(t) for k, t in cells[s].items()}, {k: blocks_in(t * most) for k, t in cells[s].items()})
+        for k, t in cells[s].items():
+            due = min(parts[k] * block_tokens, t * most)
+            rows.append((s, int(k), due // t, due % t))
+    plan = spark.createDataFrame(rows, "source string, shard int, base long, more long")
     order = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    cell = Window.partitionBy("source", "shard")
-    placed = (
-        dealt.withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens"))
-        .withColumn("whole", F.sum("tokens").over(cell))
-        .join(plan, ["source", "shard"], "left")
-    )
-    block = F.floor((F.col("before") + F.col("tokens") / 2) * F.col("n") / F.col("whole"))
-    copies = F.coalesce(F.col("base") + F.when(block < F.col("more"), 1).otherwise(0), F.lit(0))
+    placed = dealt.withColumn("before", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("tokens")).join(plan, ["source", "shard"], "left")
+    once_more = F.when(F.col("before") + F.col("tokens") / 2 < F.col("more"), 1).otherwise(0)
+    copies = F.coalesce(F.col("base") + once_more, F.lit(0))
     selection = placed.select("doc_id", "source", "tokens", F.when(F.col("tokens") > 0, copies).otherwise(0).cast("long").alias("copies"))
     used = selection.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("tokens").alias("tokens_available"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens_used"), F.max("copies").alias("most_copies"))
-    goal = spark.createDataFrame([(s, share, most, have.get(s, 0), quota[s]) for s, (share, most) in wanted.items()], "source string, target_share double, max_repeats int, blocks long, quota_blocks long")
+    goal = spark.createDataFrame(
+        [(s, share, share / present if caps[s] and present else 0.0, most, blocks_in(have[s]), quota[s]) for s, (share, most) in wanted.items()],
+        "source string, target_share double, due_share double, max_repeats int, blocks long, quota_blocks long",
+    )
     everything = Window.partitionBy(F.lit(1))
     shares = (
         goal.join(used, "source", "left")
