@@ -9,8 +9,8 @@ Training, on a bounded sample of labelled documents (`MAX_LABELLED`) and the see
 * training reads at most `MAX_LABELLED_CHARS` characters of them;
 * labels belong to documents and raters err, so windows are latent: each round, a document's worst window stands for
   it; documents rated abusive whose worst window the model finds harmless lose weight;
-* *counterfactual regularisation*: in every training window the identity terms are swapped for others, and the squared
-  change of score is penalised, so that naming a group does not by itself raise a score.
+* *counterfactual regularisation*: in every training window the identity terms are swapped for others and for a word that
+  names no group, and the squared changes of score are penalised, so that naming a group does not by itself raise a score.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ L2 = 1e-4
 LEAST_TRUST = 0.05
 SWAP_PENALTY = 0.3
 SEED_WEIGHT = 2.0
+ANYONE = "people"
 THRESHOLD = 0.5
 PIECE = 100_000
 
@@ -305,11 +306,12 @@ def _restore(at: np.ndarray, values: np.ndarray, bias: float) -> Model:
     return Model(weights, bias)
 
 
-def swapped(words: list[str], shift: int) -> list[str] | None:
-    """The words with each identity term replaced by another one; None where there is none."""
+def swapped(words: list[str], shift: int | None) -> list[str] | None:
+    """The words with each identity term replaced by another one, or without a shift by a word for people that names no
+    group; None where there is none."""
     if not any(w in _GROUP_AT for w in words):
         return None
-    return [GROUPS[(_GROUP_AT[w] + shift) % len(GROUPS)] if w in _GROUP_AT else w for w in words]
+    return [(ANYONE if shift is None else GROUPS[(_GROUP_AT[w] + shift) % len(GROUPS)]) if w in _GROUP_AT else w for w in words]
 
 
 _GROUP_AT = {w: i for i, w in enumerate(GROUPS)}
@@ -359,9 +361,10 @@ def _rounds(docs: list[Doc], trust: np.ndarray, rounds: int) -> tuple[np.ndarray
             rows.append(found)
             y.append(label)
             weight.append(much)
-            other = swapped(words, 1 + r * 7)
-            if other:
-                pairs.append((found, patterns(other)))
+            for shift in (1 + r * 7, None):
+                other = swapped(words, shift)
+                if other:
+                    pairs.append((found, patterns(other)))
 
         for words, label in seeds:
             put(words, patterns(words), label, SEED_WEIGHT)

@@ -101,3 +101,20 @@ def test_frames(spark):
     rates = {r.source: (r.n_docs, r.n_abusive) for r in a.rates(docs.where("doc_id <> 1"), a.score(docs.where("doc_id <> 1"), labels)).collect()}
     assert rates == {"a_b": (1, 0), "unknown": (2, 0)}
     assert a.score(docs.limit(0), labels).count() == 0
+
+
+def test_the_swap_penalty_evens_out_neutral_mentions(monkeypatch):
+    """Sentences that merely name a group, none of them seen in training: with the penalty they score alike for all groups
+    and as for no group, without it less so."""
+    frames = ["the {} met on monday to talk about parking", "{} make up half of our customers in the north", "the law protects {} from unfair rents", "stories told by {} of the coast", "many {} voted early this year"]
+
+    def told():
+        model = a.train([], [])
+        named = np.array(model.score_many([f.format(g) for f in frames for g in a.GROUPS])).reshape(len(frames), -1)
+        plain = np.array(model.score_many([f.format(a.ANYONE) for f in frames]))
+        return named.max(), named.std(axis=1).mean(), abs(named.mean(axis=1) - plain).mean()
+
+    top, spread, gap = told()
+    monkeypatch.setattr(a, "SWAP_PENALTY", 0.0)
+    _, free_spread, free_gap = told()
+    assert top < a.THRESHOLD and spread < free_spread and gap < free_gap
