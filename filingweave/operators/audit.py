@@ -42,3 +42,24 @@ def unit_audit(values: Column, label: Column, text: Column) -> Column:
     )
     told = verdict.isin("rescaled", "unanchored", "ok")
     return F.struct(verdict.alias("verdict"), F.when(wins & told, best["shift"]).otherwise(1.0).alias("shift"), F.when(told, best["hits"]).alias("hits"), F.when(told, hits[0]).alias("hits_as_is"))
+
+
+def corrected(values: Column, audited: Column) -> Column:
+    """All figures at the scale the audit found; the present one where none won."""
+    return F.transform(values, lambda v: v * audited["shift"])
+
+
+def scale_message(audited: Column, label: Column, figures: Column) -> Column:
+    """What the audit has to say, null where there is nothing; `figures`: how many were given. The texts are fixed values."""
+    quoted = F.when(F.contains(label, F.lit("'")) & ~F.contains(label, F.lit('"')), F.concat(F.lit('"'), label, F.lit('"'))).otherwise(F.concat(F.lit("'"), label, F.lit("'")))
+    shown = F.coalesce(label, F.lit("None"))
+    by = F.when(audited["shift"] == 1000.0, "1000").otherwise("0.001")
+    rescaled = F.concat(
+        F.lit("Unit scale corrected: figures were rescaled by "), by, F.lit("x to match the document (unit as reported: "), shown, F.lit("). "), audited["hits"].cast("string"), F.lit(" of "), figures.cast("string"),
+        F.lit(" figures now match the printed source, against "), audited["hits_as_is"].cast("string"), F.lit(" before — please verify against the original report"),
+    )
+    return (
+        F.when(audited["verdict"] == "unknown_unit", F.concat(F.lit("Unit label "), F.coalesce(quoted, F.lit("None")), F.lit(" was not recognised — normalisation to millions could not be verified against the document")))
+        .when(audited["verdict"] == "unanchored", F.concat(F.lit("None of the extracted figures could be matched against the document text (unit as reported: "), shown, F.lit(") — the scale is unverified and should be checked manually")))
+        .when(audited["verdict"] == "rescaled", rescaled)
+    )

@@ -55,12 +55,14 @@ def quote_holds_figure(span: Column, value: Column, label: Column, text: Column)
 def figure_hits(form: Column, text: Column) -> Column:
     """array<struct<start,end>> of all places where a form stands as a figure of its own and is no percentage.
 
-    The text is cut at the figure; lengths of the pieces give the offsets.
+    The text is cut at the figure; the running length of the pieces gives the offsets.
     """
     pattern = F.concat(F.lit(r"(?<![\d,.])"), F.replace(form, F.lit("."), F.lit(r"\.")), F.lit(r"(?![\d,.])"))
     pieces = F.split(text, pattern, -1)
     size = F.length(form)
-    starts = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p, i: F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * size)
+    begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + size).alias("at"), F.array_append(a["starts"], a["at"] + F.length(p)).alias("starts"))
+    starts = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), begun, step)["starts"]
     spans = F.transform(starts, lambda s: F.struct(s.cast("int").alias("start"), (s + size).cast("int").alias("end")))
     return F.filter(spans, lambda s: F.substring(text, s["end"] + 1, 1) != "%")
 
@@ -82,8 +84,9 @@ def locate_figure(value: Column, label: Column, text: Column, metric: Column) ->
 
 def page_for_offset(offset: Column, pages: Column, separator: int = 2) -> Column:
     """The page (from 1) of an offset into the pages joined by a separator; beyond the end the last page."""
-    ends = F.transform(pages, lambda p, i: F.aggregate(F.slice(pages, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)) + i * separator)
-    before = F.size(F.filter(ends, lambda e: e <= offset))
+    begun = F.struct(F.lit(0).alias("at"), F.lit(0).alias("before"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + separator).alias("at"), (a["before"] + F.when(a["at"] + F.length(p) <= offset, 1).otherwise(0)).alias("before"))
+    before = F.aggregate(pages, begun, step)["before"]
     return F.when(offset.isNotNull() & (F.size(pages) > 0), F.least(before + 1, F.size(pages)))
 
 

@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingweave.functions.text import identifying_tokens
-from filingweave.operators.joins import salted_join
+from filingweave.operators.joins import SALTS, salted_join
 
 
-def match_by_code(rows: DataFrame, code: str, companies: DataFrame, company_code: str = "stock_code") -> DataFrame:
-    """Rows with a code, joined to the company of that code; an unknown code matches nothing."""
+def match_by_code(rows: DataFrame, code: str, companies: DataFrame, company_code: str = "stock_code", by: str | None = None) -> DataFrame:
+    """Rows with a code, joined to the company of that code (the first by its columns' values where it is listed twice);
+    an unknown code matches nothing. `by`: a column to spread rows of one code by."""
     given = rows.withColumn("__code", F.trim(code)).where("__code <> ''")
-    listed = companies.withColumn("__code", F.trim(company_code)).where("__code <> ''")
-    return given.join(listed.select("__code", F.struct(*companies.columns).alias("match")), "__code", "left").drop("__code")
+    listed = companies.withColumn("__code", F.trim(company_code)).where("__code <> ''").groupBy("__code").agg(F.min(F.struct(*companies.columns)).alias("match"))
+    return salted_join(given, listed, ["__code"], by or code, "left", SALTS if by else 1).drop("__code")
 
 
 def match_by_tokens(rows: DataFrame, row_id: str, name: str, companies: DataFrame, company_id: str, names: Sequence[str]) -> DataFrame:

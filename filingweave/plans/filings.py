@@ -139,9 +139,9 @@ def refreshed_ratios(spark: SparkSession, d: str) -> DataFrame:
 # --- text, dates, links ---------------------------------------------------------------------------------------------
 
 
-@query(f"select id, {sql_tags('raw_json')} as shown from announcements where raw_json like '[%'")
+@query(f"select id, {sql_tags('raw_json')} as shown from announcements")
 def strip_tags_cells(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "announcements").where("raw_json like '[%'").select("id", tx.strip_tags("raw_json").alias("shown"))
+    return table(spark, d, "announcements").select("id", tx.strip_tags("raw_json").alias("shown"))
 
 
 @query(r"select row_id, strftime(coalesce(try_strptime(announcement_date, '%d %b %Y'), try_strptime(announcement_date, '%d %B %Y'), try_strptime(announcement_date, '%d/%m/%Y'), try_strptime(announcement_date, '%Y-%m-%d'), try_strptime(announcement_date, '%d-%b-%Y')), '%Y-%m-%d') as day from announcements_objects")
@@ -214,7 +214,7 @@ def parsed_listing(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o.row_id, w.stock_code as matched, w.name from announcements_objects o left join watchlist w on trim(o.stock_code) = trim(w.stock_code) where trim(o.stock_code) <> ''")
 def watchlist_code_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = watchlist.match_by_code(table(spark, d, "announcements_objects").select("row_id", "stock_code"), "stock_code", table(spark, d, "watchlist").select("stock_code", "name"))
+    rows = watchlist.match_by_code(table(spark, d, "announcements_objects").select("row_id", "stock_code"), "stock_code", table(spark, d, "watchlist").select("stock_code", "name"), by="row_id")
     return rows.select("row_id", F.col("match.stock_code").alias("matched"), F.col("match.name").alias("name"))
 
 
@@ -318,7 +318,7 @@ def poll_counters(spark: SparkSession, d: str) -> DataFrame:
     return poll.poll_summary(tagged, "is_results", "is_listed", "is_new")
 
 
-@query()
+@query("select count(distinct dedup_key) + max((dedup_key is null)::int) as n_rows, count(distinct dedup_key) as n_keys from announcements")
 def stream_poll_idempotent(spark: SparkSession, d: str) -> DataFrame:
     """The announcements through a run-once stream, twice: the second run finds nothing new."""
     folder = f"{shared_folder(spark).rstrip('/')}/poll-{uuid.uuid4().hex}"
@@ -388,40 +388,85 @@ def _values() -> F.Column:
     return F.array(*(F.col(f).cast("double") for f in audit.FIELDS))
 
 
-@query()
+_BODY_SQL = "coalesce(management_commentary, '') || chr(10) || chr(10) || coalesce(outlook_summary, '')"
+
+
+def _sql_hit(p: str) -> str:
+    """Whether a figure's printed forms hold one of the text's runs of digits, points and commas."""
+    forms = lambda *kinds: " or ".join(f"list_contains(runs, format('{k}', {p}))" for k in kinds)
+    whole, parts = forms("{:,.0f}", "{:.0f}"), forms("{:,.1f}", "{:,.2f}", "{:.1f}", "{:.2f}")
+    return f"({p} >= {numeric.MIN_ANCHOR} and case when abs({p} - round_even({p}, 0)) < 0.005 then {whole} else {parts} end)"
+
+
+def _sql_hits(shift: str, factor: str) -> str:
+    return f"len(list_filter(vals, lambda v: {_sql_hit(f'abs(v * {shift} / {factor})')}))"
+
+
+_SHIFTS_SQL = ("1.0::double", "1000.0::double", "0.001::double")
+
+
+@query(f"""with r as (select distinct id, {_SIX}, {_BODY_SQL} as body from pdf_metadata),
+x as (select id, regexp_extract_all(body, '[\\d,.]+') as runs, list_filter([{_SIX}], lambda v: v is not null) as vals from r)
+select id, {', '.join(f"{_sql_hits(s, '1.0::double')} as {n}" for s, n in zip(_SHIFTS_SQL, ('as_is', 'by_1000', 'by_thousandth'), strict=True))} from x""")
 def figure_anchors(spark: SparkSession, d: str) -> DataFrame:
     """How many of a report's figures stand in its own texts, as they are and rescaled."""
     hits = [audit.anchor_count(audit.present(_values()), F.lit(1.0), s, F.col("body")).alias(n) for s, n in zip(audit.SHIFTS, ("as_is", "by_1000", "by_thousandth"), strict=True)]
     return _reports(spark, d).select("id", *hits)
 
 
-@query()
+_SLIP = "case id % 3 when 1 then 1000.0 when 2 then 0.001 else 1.0 end"
+_QUOTE = "''"
+_FACTOR_SQL = f"case when regexp_matches(unit_raw, '{numeric.THOUSANDS.replace(chr(39), _QUOTE)}') then 0.001 when regexp_matches(unit_raw, '{numeric.BILLIONS}') then 1000.0 when regexp_matches(unit_raw, '{numeric.MILLIONS}') then 1.0 end"
+_PLAIN_SQL = """case when unit_raw is null then 'None' when contains(unit_raw, chr(39)) and not contains(unit_raw, '"') then '"' || unit_raw || '"' else chr(39) || unit_raw || chr(39) end"""
+
+
+@query(f"""with r as (select distinct id, unit_raw, {_SIX}, {_BODY_SQL} as body, cast({_FACTOR_SQL} as double) as f, cast({_SLIP} as double) as slip from pdf_metadata),
+x as (select id, unit_raw, f, regexp_extract_all(body || ' ' || concat_ws(' ', {', '.join(f"'{v} ' || format('{{:,.1f}}', abs({v}))" for v in audit.FIELDS)}), '[\\d,.]+') as runs, list_transform(list_filter([{_SIX}], lambda v: v is not null), lambda v: v * coalesce(f, 1.0::double) * slip) as vals from r),
+h as (select id, unit_raw, f, len(vals) as n, {', '.join(f"{_sql_hits(s, 'f')} as h{i}" for i, s in enumerate(_SHIFTS_SQL))} from x),
+b as (select *, greatest(h0, h1, h2) as best, case when h0 >= greatest(h1, h2) then 1.0 when h1 >= h2 then 1000.0 else 0.001 end as shift from h),
+w as (select *, shift <> 1.0 and best > h0 and best >= greatest(3, ceil(n * 2 / 3.0)) as wins from b),
+v as (select *, case when n = 0 then 'no_figures' when f is null then 'unknown_unit' when wins then 'rescaled' when best = 0 then 'unanchored' else 'ok' end as verdict from w)
+select id, verdict, cast(case when verdict = 'rescaled' then shift else 1.0 end as double) as shift, case when verdict not in ('no_figures', 'unknown_unit') then best end as hits, case when verdict not in ('no_figures', 'unknown_unit') then h0 end as hits_as_is,
+case verdict when 'unknown_unit' then 'Unit label ' || {_PLAIN_SQL} || ' was not recognised — normalisation to millions could not be verified against the document'
+when 'unanchored' then 'None of the extracted figures could be matched against the document text (unit as reported: ' || coalesce(unit_raw, 'None') || ') — the scale is unverified and should be checked manually'
+when 'rescaled' then 'Unit scale corrected: figures were rescaled by ' || case when shift = 1000 then '1000' else '0.001' end || 'x to match the document (unit as reported: ' || unit_raw || '). ' || best || ' of ' || n || ' figures now match the printed source, against ' || h0 || ' before — please verify against the original report' end as message from v""")
 def unit_scale_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Figures turned into millions by their label, checked against a text that prints them."""
+    """Figures turned into millions by their label, two of three reports by a slip of a thousand up or down, checked against
+    a text that prints them."""
     factor = F.coalesce(numeric.scale_factor("unit_raw"), F.lit(1.0))
+    slip = F.expr(_SLIP).cast("double")
     printed = F.concat_ws(" ", *(F.concat(F.lit(f + " "), F.format_number(F.abs(f), 1)) for f in audit.FIELDS))
-    values = F.transform(_values(), lambda v: v * factor)
-    checked = _reports(spark, d).select("id", audit.unit_audit(values, F.col("unit_raw"), F.concat_ws(" ", "body", printed)).alias("a"))
-    return checked.select("id", "a.*")
+    values = F.transform(_values(), lambda v: v * factor * slip)
+    checked = _reports(spark, d).select("id", "unit_raw", F.size(audit.present(_values())).alias("n"), audit.unit_audit(values, F.col("unit_raw"), F.concat_ws(" ", "body", printed)).alias("a"))
+    return checked.select("id", "a.*", audit.scale_message(F.col("a"), F.col("unit_raw"), F.col("n")).alias("message"))
 
 
 @query()
 def traced_figures(spark: SparkSession, d: str) -> DataFrame:
-    """Each figure traced in its report's texts: by its own place under its caption, else unverified."""
-    rows = _reports(spark, d).select("id", "unit_raw", "body", F.inline(F.array(*(F.struct(F.lit(f).alias("metric"), F.col(f).cast("double").alias("value")) for f in audit.FIELDS)))).where("value is not null")
-    got = evidence.trace(F.col("value"), F.col("unit_raw"), F.lit(None).cast("string"), F.col("body"), F.col("metric"), F.lit(True))
+    """Each figure, in millions by its label, traced in its report's texts: by a quote (the first passage with a number)
+    where that holds it, by its own place under its caption, else unverified."""
+    rows = _reports(spark, d).select("id", "unit_raw", "body", F.inline(F.array(*(F.struct(F.lit(f).alias("metric"), F.col(f).cast("double").alias("printed")) for f in audit.FIELDS)))).where("printed is not null")
+    value = F.col("printed") * F.coalesce(numeric.scale_factor("unit_raw"), F.lit(1.0))
+    quote = F.regexp_substr("body", F.lit(r"[^.\n]*\d[^\n]{0,80}"))
+    got = evidence.trace(value, F.col("unit_raw"), quote, F.col("body"), F.col("metric"), F.lit(True))
     return rows.select("id", "metric", got.alias("t")).select("id", "metric", "t.*")
 
 
-@query("""with x as (select e.id, o.value_millions as recorded, case o.metric when 'revenue_current' then r.revenue_current when 'pbt_current' then r.pbt_current end as current from evidence e join (select id, any_value(pdf_metadata_id) as pdf_metadata_id, any_value(metric) as metric, min(value_millions) as value_millions from metric_observations group by id) o on o.id = e.metric_observation_id
-join (select id, any_value(revenue_current) as revenue_current, any_value(pbt_current) as pbt_current from pdf_metadata group by id) r on r.id = o.pdf_metadata_id where o.metric in ('revenue_current', 'pbt_current'))
-select distinct id from x where abs(current - recorded) > 1e-9""")
+_NOW_SQL = f"unpivot (select id, {', '.join(f'min({f}) as {f}' for f in audit.FIELDS)} from pdf_metadata group by id) on {_SIX} into name metric value current"
+
+
+@query(f"""with o as (select id, min_by(pdf_metadata_id, (observed_at, metric, value_millions)) as report_id, min_by(metric, (observed_at, metric, value_millions)) as metric, min_by(value_millions, (observed_at, metric, value_millions)) as recorded
+from metric_observations where value_millions is not null group by id), n as ({_NOW_SQL})
+select distinct e.id, 'recorded ' || format('{{:,.1f}}', o.recorded) || ', now ' || format('{{:,.1f}}', n.current) || ' — re-verify' as message from evidence e join o on o.id = e.metric_observation_id join n on n.id = o.report_id and n.metric = o.metric where abs(n.current - o.recorded) > 1e-9""")
 def stale_traces(spark: SparkSession, d: str) -> DataFrame:
-    """Traces whose figure differs from the one now in the report."""
-    seen = table(spark, d, "metric_observations").where("metric in ('revenue_current', 'pbt_current')").groupBy(F.col("id").alias("metric_observation_id")).agg(F.first("pdf_metadata_id").alias("pdf_metadata_id"), F.first("metric").alias("metric"), F.min("value_millions").alias("recorded"))
-    now = _reports(spark, d).select(F.col("id").alias("pdf_metadata_id"), F.inline(F.array(*(F.struct(F.lit(f).alias("metric"), F.col(f).alias("current")) for f in ("revenue_current", "pbt_current")))))
-    both = table(spark, d, "evidence").select("id", "metric_observation_id").join(seen, "metric_observation_id").join(now, ["pdf_metadata_id", "metric"])
-    return both.where(F.abs(F.col("current") - F.col("recorded")) > 1e-9).select("id").distinct()
+    """Traces whose figure, as first observed, differs from the one now in the report."""
+    first = F.min(F.struct("observed_at", "metric", "value_millions", "pdf_metadata_id"))
+    seen = table(spark, d, "metric_observations").where("value_millions is not null").groupBy(F.col("id").alias("metric_observation_id")).agg(first.alias("o"))
+    seen = seen.select("metric_observation_id", F.col("o.pdf_metadata_id").alias("id"), F.col("o.metric").alias("metric"), F.col("o.value_millions").alias("recorded"))
+    now = table(spark, d, "pdf_metadata").groupBy("id").agg(*(F.min(f).alias(f) for f in audit.FIELDS)).unpivot("id", list(audit.FIELDS), "metric", "current")
+    both = table(spark, d, "evidence").select(F.col("id").alias("trace"), "metric_observation_id").join(seen, "metric_observation_id").join(now, ["id", "metric"])
+    said = F.concat(F.lit("recorded "), F.format_number("recorded", 1), F.lit(", now "), F.format_number("current", 1), F.lit(" — re-verify"))
+    return both.where(F.abs(F.col("current") - F.col("recorded")) > 1e-9).select(F.col("trace").alias("id"), said.alias("message")).distinct()
 
 
 # --- checks and evaluation ------------------------------------------------------------------------------------------

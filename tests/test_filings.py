@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +215,24 @@ def test_a_boundary_that_is_no_date_fails_the_query(spark):
     assert rows.where(dates.since_filter(F.col("day"), dates.boundary("5 March 2024"))).count() == 2
     with pytest.raises(Exception, match="no date: soon"):
         rows.where(dates.since_filter(F.col("day"), dates.boundary("soon"))).count()
+
+
+def test_scale_messages(spark):
+    rows = [("RM'000", [1.0, 2.0, 3.0], "1,000 2,000 3,000"), ("RM'000", [1000.0, 2000.0, 3000.0], "1,000 2,000 3,000"), ("RM'000", [1.0, None, 3.0], "no figures"), ("see 'note'", [1.0], "1"), (None, [1.0], "1"), ("million", [None], "x")]
+    frame = spark.createDataFrame(rows, "label string, figures array<double>, text string").withColumn("a", audit.unit_audit(F.col("figures"), F.col("label"), F.col("text")))
+    got = frame.select(audit.scale_message(F.col("a"), F.col("label"), F.size(audit.present(F.col("figures")))).alias("m"), audit.corrected(F.col("figures"), F.col("a")).alias("c")).collect()
+    assert got[0].m is None and got[5].m is None
+    assert got[1].m.startswith("Unit scale corrected: figures were rescaled by 0.001x") and "3 of 3 figures now match" in got[1].m and got[1].c == [1.0, 2.0, 3.0]
+    assert got[2].m.startswith("None of the extracted figures") and got[2].c == [1.0, None, 3.0]
+    assert got[3].m.startswith("Unit label \"see 'note'\" was not") and got[4].m.startswith("Unit label None was not")
+
+
+def test_offsets_of_many_hits_and_pages(spark):
+    text = " ".join(["12.5 and 112.5, 12.5% or (12.5)"] * 200)
+    row = spark.createDataFrame([(text, "12.5", ["ab", "", "cde", "f"])], "t string, f string, p array<string>")
+    hits = row.select(evidence.figure_hits(F.col("f"), F.col("t")).alias("h")).first().h
+    want = [(m.start(), m.end()) for m in re.finditer(r"(?<![\d,.])12\.5(?![\d,.])", text) if text[m.end() : m.end() + 1] != "%"]
+    assert [(h.start, h.end) for h in hits] == want
+    pages = row.select(*(evidence.page_for_offset(F.lit(o), F.col("p")).alias(f"o{o}") for o in range(14)), evidence.page_for_offset(F.lit(None).cast("int"), F.col("p")).alias("none")).first()
+    ends = [2, 4, 9, 12]
+    assert [pages[f"o{o}"] for o in range(14)] == [min(4, 1 + sum(e <= o for e in ends)) for o in range(14)] and pages.none is None
