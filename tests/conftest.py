@@ -6,7 +6,7 @@ from filingweave.session import local_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("shared")
-    session = local_session(4, "tests", **{"spark.checkpoint.dir": f"file://{folder}", "spark.sql.shuffle.partitions": "4"})
+    session = local_session(4, "tests", **{"spark.checkpoint.dir": f"file://{folder}", "spark.sql.shuffle.partitions": "3"})
     yield session
     session.stop()
 
