@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingweave.functions.numeric import any_anchored, printed_forms, scale_factor
@@ -90,12 +90,11 @@ def page_for_offset(offset: Column, pages: Column, separator: int = 2) -> Column
     return F.when(offset.isNotNull() & (F.size(pages) > 0), F.least(before + 1, F.size(pages)))
 
 
-def trace(value: Column, label: Column, quote: Column, text: Column, metric: Column, from_document: Column) -> Column:
-    """struct<method,start,end,snippet,printed_form>: the quote if it is there and holds the figure, else the figure's
-    own place, else `unverified`; `prior_entry` for figures that don't come from this document."""
-    span = locate_quote(quote, text)
-    cited = F.when(span.isNotNull() & quote_holds_figure(span, value, label, text), span)
-    found = F.coalesce(cited, locate_figure(value, label, text, metric))
+def _cited(span: Column, value: Column, label: Column, text: Column) -> Column:
+    return F.when(span.isNotNull() & quote_holds_figure(span, value, label, text), span)
+
+
+def _told(cited: Column, found: Column, text: Column, from_document: Column) -> Column:
     method = F.when(~from_document, "prior_entry").when(cited.isNotNull(), "llm_verified").when(found.isNotNull(), "deterministic").otherwise("unverified")
     at = F.when(from_document, found)
     start = F.greatest(F.lit(0), at["start"] - PAD)
@@ -106,3 +105,19 @@ def trace(value: Column, label: Column, quote: Column, text: Column, metric: Col
         F.trim(F.substring(text, start + 1, at["end"] + PAD - start)).alias("snippet"),
         F.substring(F.trim(F.substring(text, at["start"] + 1, at["end"] - at["start"])), 1, 200).alias("printed_form"),
     )
+
+
+def trace(value: Column, label: Column, quote: Column, text: Column, metric: Column, from_document: Column) -> Column:
+    """struct<method,start,end,snippet,printed_form>: the quote if it is there and holds the figure, else the figure's
+    own place, else `unverified`; `prior_entry` for figures that don't come from this document."""
+    cited = _cited(locate_quote(quote, text), value, label, text)
+    return _told(cited, F.coalesce(cited, locate_figure(value, label, text, metric)), text, from_document)
+
+
+def trace_rows(rows: DataFrame, value: Column, label: Column, quote: Column, text: Column, metric: Column, from_document: Column, to: str = "trace") -> DataFrame:
+    """Rows with their `trace` as a column; its steps are columns of their own on the way, so that each is worked out
+    once a row."""
+    steps = rows.withColumn("__value", value).withColumn("__span", locate_quote(quote, text))
+    steps = steps.withColumn("__cited", _cited(F.col("__span"), F.col("__value"), label, text))
+    steps = steps.withColumn("__found", F.when(F.col("__cited").isNotNull(), F.col("__cited")).otherwise(locate_figure(F.col("__value"), label, text, metric)))
+    return steps.withColumn(to, _told(F.col("__cited"), F.col("__found"), text, from_document)).drop("__value", "__span", "__cited", "__found")

@@ -448,8 +448,8 @@ def traced_figures(spark: SparkSession, d: str) -> DataFrame:
     rows = _reports(spark, d).select("id", "unit_raw", "body", F.inline(F.array(*(F.struct(F.lit(f).alias("metric"), F.col(f).cast("double").alias("printed")) for f in audit.FIELDS)))).where("printed is not null")
     value = F.col("printed") * F.coalesce(numeric.scale_factor("unit_raw"), F.lit(1.0))
     quote = F.regexp_substr("body", F.lit(r"[^.\n]*\d[^\n]{0,80}"))
-    got = evidence.trace(value, F.col("unit_raw"), quote, F.col("body"), F.col("metric"), F.lit(True))
-    return rows.select("id", "metric", got.alias("t")).select("id", "metric", "t.*")
+    got = evidence.trace_rows(rows.withColumn("quote", quote), value, F.col("unit_raw"), F.col("quote"), F.col("body"), F.col("metric"), F.lit(True), "t")
+    return got.select("id", "metric", "t.*")
 
 
 _NOW_SQL = f"unpivot (select id, {', '.join(f'min({f}) as {f}' for f in audit.FIELDS)} from pdf_metadata group by id) on {_SIX} into name metric value current"

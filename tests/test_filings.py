@@ -236,3 +236,11 @@ def test_offsets_of_many_hits_and_pages(spark):
     pages = row.select(*(evidence.page_for_offset(F.lit(o), F.col("p")).alias(f"o{o}") for o in range(14)), evidence.page_for_offset(F.lit(None).cast("int"), F.col("p")).alias("none")).first()
     ends = [2, 4, 9, 12]
     assert [pages[f"o{o}"] for o in range(14)] == [min(4, 1 + sum(e <= o for e in ends)) for o in range(14)] and pages.none is None
+
+
+def test_traced_rows_are_as_traced(spark):
+    rows = [(1.2, "RM'000", "Revenue rose to 1,200 thousand", "Revenue rose to  1,200 thousand.", "revenue_current", True), (3.5, "million", None, "pbt 3.50", "pbt_current", True), (350.0, "million", "nothing here", "Profit before tax was 350", "pbt_current", True), (1.0, None, None, None, "x", True), (350.0, "million", None, "350", "pbt_current", False)]
+    frame = spark.createDataFrame(rows, "v double, u string, q string, t string, m string, d boolean")
+    args = [F.col(c) for c in ("v", "u", "q", "t", "m", "d")]
+    got = evidence.trace_rows(frame, *args, to="a").withColumn("b", evidence.trace(*args)).collect()
+    assert [r.a for r in got] == [r.b for r in got] and [r.a.method for r in got] == ["llm_verified", "deterministic", "deterministic", "unverified", "prior_entry"]
