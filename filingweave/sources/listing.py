@@ -40,25 +40,27 @@ def _first(record: Column, entries: Column, field: str) -> Column:
 RAW = ("title", "company", "code", "kind", "day", "url", "own_id", "files")
 
 
-def _announcements(rows: DataFrame, keep: list[str], company_shown, positional: bool) -> DataFrame:
-    """Announcements of rows with the raw fields `__<name>` of RAW. Costly parts are columns of their own, so that each
-    is worked out once a row."""
+def _announcements(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Announcements of rows with the raw fields `__<name>` of RAW; `__cells` holds the cells of positional rows and is
+    null in others. Costly parts are columns of their own, so that each is worked out once a row."""
     c = F.col
-    staged = rows.select(*keep, *(f"__{n}" for n in RAW), *(["__cells"] if positional else []), tx.links("__title").alias("__links"), shown_date("__day").alias("__shown"))
+    positional = c("__cells").isNotNull()
+    staged = rows.select(*keep, *(f"__{n}" for n in RAW), "__cells", tx.links("__title").alias("__links"), shown_date("__day").alias("__shown"))
     pages = F.filter("__links", lambda a: ~tx.is_pdf(a["href"]))
-    url = F.get(pages, F.lit(0))["href"] if positional else c("__url")
-    cells = [F.get("__cells", F.lit(i)) for i in range(4)] if positional else []
-    staged = staged.select("*", url.alias("__link"), company_shown.alias("__company_shown"), tx.headline("__title", c("__links")).alias("__headline"))
+    url = F.when(positional, F.get(pages, F.lit(0))["href"]).otherwise(c("__url"))
+    company = F.when(positional, tx.headline("__company")).otherwise(tx.strip_tags("__company"))
+    staged = staged.select("*", url.alias("__link"), company.alias("__company_shown"), tx.headline("__title", c("__links")).alias("__headline"), tx.attachments("__title", c("__links")).alias("__linked"))
+    cells = [F.get("__cells", F.lit(i)) for i in range(4)]
     return staged.select(
         *keep,
         F.nullif("__headline", F.lit("")).alias("title"),
-        tx.stock_code("__code", "__company", *cells).alias("stock_code"),
+        F.when(positional, tx.stock_code("__code", "__company", *cells)).otherwise(tx.stock_code("__code", "__company")).alias("stock_code"),
         F.nullif("__company_shown", F.lit("")).alias("company_name"),
         F.nullif(tx.strip_tags("__kind"), F.lit("")).alias("announcement_type"),
         date_in(c("__shown")).alias("announced_at"),
         c("__link").alias("url"),
         F.coalesce("__own_id", tx.announcement_id("__link")).alias("bursa_id"),
-        (tx.attachments("__title", c("__links")) if positional else _files(c("__files"), tx.attachments("__title", c("__links")))).alias("attachments"),
+        F.when(positional, c("__linked")).otherwise(_files(c("__files"), c("__linked"))).alias("attachments"),
     )
 
 
@@ -73,25 +75,44 @@ def _files(value: Column, linked: Column) -> Column:
     return F.when(F.size(listed) > 0, listed).otherwise(linked)
 
 
+def _object_fields() -> list[Column]:
+    """The raw fields of an object row from its map `__r` and its entries `__l`."""
+    get = lambda f: _first(F.col("__r"), F.col("__l"), f)
+    files = F.coalesce(*(F.nullif(F.try_element_at("__r", F.lit(k)), F.lit("")) for k in ("attachments", "files", "documents")), F.lit(""))
+    return [get("title"), get("company_name"), get("stock_code"), get("announcement_type"), get("announced_at"), get("url"), get("bursa_id"), files]
+
+
+def _cell_fields(cells: Column) -> list[Column]:
+    """The raw fields of a positional row (number, date, company, title)."""
+    cell, none = [F.get(cells, F.lit(i)) for i in range(4)], F.lit(None).cast("string")
+    return [cell[3], cell[2], none, none, cell[1], none, none, none]
+
+
+def _named(fields: list[Column]) -> list[Column]:
+    return [x.alias(f"__{n}") for n, x in zip(RAW, fields, strict=True)]
+
+
 def from_objects(rows: DataFrame, body: str) -> DataFrame:
     """Announcements of JSON object rows (text in `body`); the other columns stay."""
     keep = [c for c in rows.columns if c != body]
     records = rows.select(*keep, F.from_json(body, "map<string,string>").alias("__r")).select(*keep, "__r", F.map_entries("__r").alias("__l"))
-    get = lambda f: _first(F.col("__r"), F.col("__l"), f)
-    files = F.coalesce(*(F.nullif(F.try_element_at("__r", F.lit(k)), F.lit("")) for k in ("attachments", "files", "documents")), F.lit(""))
-    fields = (get("title"), get("company_name"), get("stock_code"), get("announcement_type"), get("announced_at"), get("url"), get("bursa_id"), files)
-    raw = records.select(*keep, *(x.alias(f"__{n}") for n, x in zip(RAW, fields, strict=True)))
-    return _announcements(raw, keep, tx.strip_tags("__company"), positional=False)
+    return _announcements(records.select(*keep, *_named(_object_fields()), F.lit(None).cast("array<string>").alias("__cells")), keep)
 
 
 def from_cells(rows: DataFrame, cells: str) -> DataFrame:
     """Announcements of positional rows (number, date, company, title); short rows are padded with nulls."""
     keep = [c for c in rows.columns if c != cells]
-    cell = [F.get(F.col(cells), F.lit(i)) for i in range(4)]
-    none = F.lit(None).cast("string")
-    fields = (cell[3], cell[2], none, none, cell[1], none, none, none)
-    raw = rows.select(*keep, *(x.alias(f"__{n}") for n, x in zip(RAW, fields, strict=True)), F.col(cells).alias("__cells"))
-    return _announcements(raw, keep, tx.headline("__company"), positional=True)
+    return _announcements(rows.select(*keep, *_named(_cell_fields(F.col(cells))), F.coalesce(cells, F.array().cast("array<string>")).alias("__cells")), keep)
+
+
+def from_rows(rows: DataFrame, body: str) -> DataFrame:
+    """Announcements of JSON rows of either shape (text in `body`), told apart row by row in one pass."""
+    keep = [c for c in rows.columns if c != body]
+    text = F.col(body)
+    records = rows.select(*keep, F.from_json(F.when(text.startswith("{"), text), "map<string,string>").alias("__r"), F.from_json(F.when(text.startswith("["), text), "array<string>").alias("__cells"))
+    records = records.select("*", F.map_entries("__r").alias("__l"))
+    either = [F.when(F.col("__cells").isNotNull(), at).otherwise(of) for of, at in zip(_object_fields(), _cell_fields(F.col("__cells")), strict=True)]
+    return _announcements(records.select(*keep, *_named(either), "__cells"), keep)
 
 
 def from_html(pages: DataFrame, key: str, html: str) -> DataFrame:
@@ -125,9 +146,7 @@ def parse(payloads: DataFrame, body: str, strict: bool = True) -> DataFrame:
             raise ListingError(bad[0][0])
     keep = [c for c in payloads.columns if c != body]
     good = rows.where("problem is null").select(*keep, "row_no", "row")
-    objects = from_objects(good.where("row like '{%'"), "row")
-    cells = good.where("row like '[%'").withColumn("cells", F.from_json("row", "array<string>")).drop("row")
-    return objects.unionByName(from_cells(cells, "cells")).where("title is not null")
+    return from_rows(good, "row").where("title is not null")
 
 
 def read_listing_files(spark: SparkSession, path: str) -> DataFrame:
