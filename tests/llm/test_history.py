@@ -255,3 +255,44 @@ def test_like_titles_share_a_mark():
     assert all(h.shared(h.pack(a), None) & h.shared(h.pack(b), None) for a, b in alike)
     left_out = h.canonical_title("consolixxted Kenjo"), h.canonical_title("consolidated Kenjo")
     assert h.same_title(*left_out) and h.shared(h.pack(left_out[0]), None) & h.shared(h.pack(left_out[1]), None)
+
+
+def named(rows, seed=4):
+    """Rows of which some have no company id and some records tell the company's name."""
+    rng = random.Random(seed)
+    out = []
+    for i, c, b, k, t, d, _, batch in rows:
+        told = json.dumps({"company": f"Company {c} Bhd"}) if rng.random() < 0.5 else None
+        out.append((i, None if told and rng.random() < 0.6 else c, b, k, t, d, told, batch))
+    return out
+
+
+def test_each_batch_is_checked_by_itself(spark, tmp_path):
+    """A row is resolved by what was accepted up to its own batch, not by the other batches of a lot."""
+    t, raw = "Award of contract no. 6853 for the Zuslih Mulrik works, Package 1", json.dumps({"company": "Acme Berhad"})
+    rows = [
+        row(1, t, company=None, raw=raw, batch=1), row(2, "Other matter 5", company=7, raw=raw, batch=1), row(3, t, company=7, batch=2),
+        row(4, "Other matter 6", company=8, raw=raw, batch=2), row(5, "Other matter 7", company=8, raw=raw, batch=2),
+        row(6, t, company=None, raw=raw, batch=3), row(7, t, company=8, batch=4),
+    ]
+    got = h.repeats_by_batch(spark, filings(spark, rows), None, f"file://{tmp_path}/runs")
+    assert {tuple(r) for r in got.collect()} == {(1, 3), (6, 7)}
+
+
+def test_batches_of_a_table_as_one_by_one(spark, tmp_path):
+    """Batches with few and many rows, one without a number, undated rows, and names told their company later."""
+    rows = undated(named(corpus(100, 8)), 0.1)
+    rows = [(*r[:7], None if r[0] < 9 else (3, 20, 20, 21)[r[0] % 4 if r[0] > 60 else 0]) for r in rows]
+    late = [row(501, "Late matter 5", company=None, raw='{"company": "Z"}', batch=3), row(502, "Late matter 5", company=77, raw='{"company": "Z"}', batch=20)]
+    rows += [*late, row(503, "Late matter 5", company=77, batch=21), row(504, "Late matter 5", company=None, raw='{"company": "Z"}', batch=21)]
+    each, one = h.Runs(spark, f"file://{tmp_path}/each"), h.Runs(spark, f"file://{tmp_path}/one")
+    each.accept_each(filings(spark, rows))
+    for b in (None, 3, 20, 21):
+        one.accept(filings(spark, [r for r in rows if r[7] == b]), name=None if b is None else str(b))
+    assert each.commits.current()["batches"] == one.commits.current()["batches"] == {"3": 2, "20": 3, "21": 4}
+    for batch in (None, 1, 2, 3, 4):
+        assert {tuple(r) for r in each.repeats(batch).collect()} == {tuple(r) for r in one.repeats(batch).collect()}
+    assert {(501, 502), (501, 503), (501, 504)} <= {tuple(r) for r in each.repeats().collect()}
+    more = [(900, *rows[70][1:7], 21), (901, *rows[20][1:7], 22)]  # of a batch accepted already, and of a new one
+    each.accept_each(filings(spark, more))
+    assert {r.id_b for r in each.repeats().collect()} >= {901} and 900 not in {r.id_b for r in each.repeats().collect()}
